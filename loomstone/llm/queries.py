@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import neardup, packing, tokenbin
+from loomstone.llm import licenses, neardup, packing, secret_scan, tokenbin
 from loomstone.runtime import table
 
 
@@ -47,14 +47,26 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into power-of-two pieces."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements in all documents."""
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op5_token_files": op5_token_files,
+    "op6_secrets": op6_secrets,
     "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
 }
 ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL}
