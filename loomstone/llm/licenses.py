@@ -63,6 +63,7 @@ TEMPLATES = {
         "license as published by the free software foundation either version 2 of the license or at your option any later "
         "version",
         "licensed under the gnu general public license version 2",
+        "this work is licensed under the gnu general public license version 2",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the "
@@ -113,9 +114,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     """One row a document: doc_id, n_words, base, spans.
 
     base: array<struct<at, label>>, the places of the deciding phrases in words.
-    spans: array<struct<first, last, label, cover>>, verified template spans in
-    words, by position; of spans that overlap, those that cover their template
-    best.  Null and empty texts have neither.  Repeated rows are
+    spans: array<struct<first, last, label, cover, votes>>, verified template spans in
+    words, by position; of spans that overlap, those with most votes.  Null and empty texts have neither.  Repeated rows are
     scanned each, a null doc_id stays, an empty table gives no rows.
 
     Hits are found where the words are and only they are shuffled.  The
@@ -163,21 +163,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
         .groupBy("row")
         .agg(
             F.array_sort(
-                F.collect_list(F.struct(F.col("c.low").alias("first"), (F.col("c.high") + GRAM - 1).alias("last"), "label", "cover"))
+                F.collect_list(F.struct(F.col("c.low").alias("first"), (F.col("c.high") + GRAM - 1).alias("last"), "label", "cover", F.size(F.array_distinct("c.ats")).alias("votes")))
             ).alias("spans")
         )
     )
-    # A template that differs in a version number is beaten by the one that fits better there.
+    # Templates that differ in a version number vote for one place; the one with most votes wins it.
     spans = spans.withColumn(
         "spans",
         F.filter(
             "spans",
             lambda a: ~F.exists(
-                "spans", lambda b: (b["cover"] > a["cover"]) & (b["first"] <= a["last"]) & (a["first"] <= b["last"])
+                "spans", lambda b: (b["votes"] > a["votes"]) & (b["first"] <= a["last"]) & (a["first"] <= b["last"])
             ),
         ),
     )
-    empty = F.array().cast("array<struct<first:int,last:int,label:string,cover:double>>")
+    empty = F.array().cast("array<struct<first:int,last:int,label:string,cover:double,votes:int>>")
     return found.join(spans, "row", "left").select(
         "doc_id", "n_words", "base", F.coalesce("spans", empty).alias("spans")
     )

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomstone.llm.columns import pick
-from loomstone.llm.tokenizing import Encoder
+from loomstone.llm.tokenizing import worker_encoder
 
 PIECE_SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -38,7 +38,7 @@ def pieces(n: int, longest: int) -> list[tuple[int, int]]:
 
 def _packer(tokenizer_path: str, end_id: int, longest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         # A task numbers its own range of sequences; a task that is repeated gives the same numbers.
         sequence = TaskContext.get().partitionId() << 40

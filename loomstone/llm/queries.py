@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import licenses, neardup, packing, secret_scan, tokenbin
+from loomstone.llm import licenses, neardup, packing, quality, secret_scan, tokenbin
 from loomstone.runtime import table
 
 
@@ -52,6 +52,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts of all documents, cutoffs from the labels."""
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("reasons")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into power-of-two pieces."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op5_token_files": op5_token_files,
     "op6_secrets": op6_secrets,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
 }

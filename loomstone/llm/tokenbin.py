@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.columns import pick
-from loomstone.llm.tokenizing import Encoder
+from loomstone.llm.tokenizing import worker_encoder
 from loomstone.runtime import scratch_path
 
 BLOCK_IDS = 1 << 16
@@ -57,7 +57,7 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 def _writer(tokenizer_path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         bits = width(max(encoder.vocab_size, end_id + 1))
         end = np.array([end_id], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()

@@ -12,6 +12,8 @@ from __future__ import annotations
 import gc
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,24 +32,43 @@ _LINE = re.compile(f"([^{_SPACE}]+)\n([^{_SPACE}]+)")
 
 
 class _Pieces(dict):
-    """piece -> ids as little-endian uint32 bytes; emptied when it is full."""
+    """piece -> ids as little-endian uint32 bytes, for pieces that were asked for twice.
 
-    def __init__(self, encode, prefix: str, limit: int, other: _Pieces | None = None):
+    Most distinct pieces of a corpus come once; a table of hash marks keeps those
+    out, so that the frequent ones stay.  Both are emptied when they are full.
+    """
+
+    MARKS = 1 << 22
+
+    def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.prefix, self.limit, self.other = encode, prefix, limit, other
+        self.encode, self.limit = encode, limit
+        self.marks, self.marked = bytearray(self.MARKS), 0
 
     def __missing__(self, piece: str) -> bytes:
-        if self.other is not None and (m := _LINE.fullmatch(piece)):
-            got = self[m[1]] + self.other["\n"] + self.other[m[2]]
+        got = self.encode(piece)
+        at = hash(piece) & (self.MARKS - 1)
+        if self.marks[at]:
+            if len(piece) <= 64:
+                if len(self) >= self.limit:
+                    self.clear()
+                self[piece] = got
         else:
-            got = self.encode(self.prefix + piece)
-        if len(piece) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = got
+            self.marks[at] = 1
+            self.marked += 1
+            if self.marked > self.MARKS // 2:
+                self.marks, self.marked = bytearray(self.MARKS), 0
         return got
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task with the pieces it remembers."""
+    kept = sys.__dict__.setdefault("_loomstone_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 class Encoder:
     """``ids(text)`` equals the library's encoding of the text.
 
@@ -55,7 +76,7 @@ class Encoder:
     bounds memory (about 200 bytes each).
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,29 +94,29 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         self._alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self._words: dict[str, bytes] = {}
-        self._limit = limit
-        self._bare = _Pieces(self._piece, "", limit)
-        self._spaced = _Pieces(self._piece, " ", limit, self._bare)
+        self._words = _Pieces(self._word, limit)
+        self._bare = _Pieces(self._piece, limit)
+        self._spaced = _Pieces(self._spaced_piece, limit)
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii():  # the byte alphabet shows a space as G with a dot
+            units = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            units = word.encode().decode("latin-1").translate(self._alphabet)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(units)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return np.asarray(self._encode(piece), dtype="<u4").tobytes()
-        got = []
-        for word in _PRE.findall(piece):
-            ids = self._words.get(word)
-            if ids is None:
-                if word.isascii():  # the byte alphabet shows a space as G with a dot
-                    units = "\u0120" + word[1:] if word[0] == " " else word
-                else:
-                    units = word.encode().decode("latin-1").translate(self._alphabet)
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(units)], dtype="<u4").tobytes()
-                if len(word) <= 64:
-                    if len(self._words) >= self._limit:
-                        self._words.clear()
-                    self._words[word] = ids
-            got.append(ids)
-        return b"".join(got)
+        parts = _PRE.findall(piece)
+        if len(parts) == 1:
+            return self._word(piece)
+        return b"".join(map(self._words.__getitem__, parts))
+
+    def _spaced_piece(self, piece: str) -> bytes:
+        if "\n" in piece and (m := _LINE.fullmatch(piece)):
+            return self._spaced[m[1]] + self._bare["\n"] + self._bare[m[2]]
+        return self._piece(" " + piece)
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -39,8 +39,8 @@ def brute(text):
             for c in chains:
                 cover = len({j for _, j in c}) / (len(t) - 2)
                 if cover >= L.COVER:
-                    spans.add((label, cover, min(i for i, _ in c), max(i for i, _ in c) + 2))
-    spans = {(a, x) for a, x, f, t in spans if not any(y > x and g <= t and f <= u for _, y, g, u in spans)}
+                    spans.add((label, cover, len({j for _, j in c}), min(i for i, _ in c), max(i for i, _ in c) + 2))
+    spans = {(a, x) for a, x, n, f, t in spans if not any(m > n and g <= t and f <= u for _, _, m, g, u in spans)}
     labels = {lab for _, lab in base}
     return (
         len(w), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)),
