@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import licenses, neardup, packing, quality, secret_scan, tokenbin
+from loomstone.llm import licenses, neardup, packing, pii, quality, secret_scan, tokenbin
 from loomstone.runtime import table
 
 
@@ -67,6 +67,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op5_token_files": op5_token_files,
@@ -74,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op2_near_duplicates": OP2_SQL}

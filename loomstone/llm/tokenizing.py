@@ -28,6 +28,7 @@ _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _P = "!-/:-@\\[-`{-~"
 _PLAIN = re.compile(f" ?[{_L}0-9{_P}]+")
 _PRE = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[{_P}]+")
+_CLOSING = frozenset(",.;:!?")
 _LINE = re.compile(f"([^{_SPACE}]+)\n([^{_SPACE}]+)")
 
 
@@ -69,6 +70,18 @@ def worker_encoder(path: str) -> Encoder:
     return kept[path]
 
 
+class _Units(dict):
+    """character -> its UTF-8 bytes in the byte alphabet; there are at most as many as characters."""
+
+    def __init__(self, alphabet: dict[int, str]):
+        super().__init__()
+        self.alphabet = alphabet
+
+    def __missing__(self, c: str) -> str:
+        self[c] = got = "".join(self.alphabet[b] for b in c.encode())
+        return got
+
+
 class Encoder:
     """``ids(text)`` equals the library's encoding of the text.
 
@@ -93,17 +106,16 @@ class Encoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
-        self._alphabet = {b: 256 + i for i, b in enumerate(hidden)}
+        self._units = _Units({b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)})
+        self._model = self.tokenizer.model
         self._words = _Pieces(self._word, limit)
         self._bare = _Pieces(self._piece, limit)
         self._spaced = _Pieces(self._spaced_piece, limit)
 
     def _word(self, word: str) -> bytes:
-        if word.isascii():  # the byte alphabet shows a space as G with a dot
-            units = "\u0120" + word[1:] if word[0] == " " else word
-        else:
-            units = word.encode().decode("latin-1").translate(self._alphabet)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(units)]).tobytes()
+        """One pre-token, shown in the byte alphabet."""
+        units = "".join(map(self._units.__getitem__, word))
+        return array("I", [t.id for t in self._model.tokenize(units)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
@@ -114,6 +126,10 @@ class Encoder:
         return b"".join(map(self._words.__getitem__, parts))
 
     def _spaced_piece(self, piece: str) -> bytes:
+        if piece.isalpha():  # letters only: one pre-token
+            return self._word(" " + piece)
+        if piece[-1:] in _CLOSING and piece[:-1].isalpha():
+            return self._words[" " + piece[:-1]] + self._bare[piece[-1]]
         if "\n" in piece and (m := _LINE.fullmatch(piece)):
             return self._spaced[m[1]] + self._bare["\n"] + self._bare[m[2]]
         return self._piece(" " + piece)
