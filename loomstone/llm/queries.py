@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import licenses, neardup, packing, pii, quality, secret_scan, tokenbin
+from loomstone.llm import decontaminate, licenses, neardup, packing, pii, quality, secret_scan, tokenbin
 from loomstone.runtime import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds a passage."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_token_files": op5_token_files,
     "op6_secrets": op6_secrets,
