@@ -77,14 +77,18 @@ def _shapes(text: Column) -> dict[str, Column]:
     }
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
+def base_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id and text with the span arrays email, ip, card, phone, and all tokens with five figures.
 
     ``tokens`` are struct<start, end, value, context>: value without marks at its
     ends, context the hash of the two words before.
     """
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    text = F.col("text")
+    if carry is None:
+        rows = pick(docs, "doc_id", "text")
+    else:
+        whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0))
+        rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), whole.alias("carried"))
+    text = F.coalesce("text", F.lit(""))
 
     def more(gap: Column, start: Column, hit: Column) -> dict[str, Column]:
         # Between tokens lies at least white space; the words before are cut from the text.
@@ -92,7 +96,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
         return {"context": _context(F.substring(text, low + 1, start - low))}
 
     tokens = matches(text, TOKEN, gate=TOKEN, extra=more, extra_type=",context:bigint")
-    return rows.select("doc_id", "text", *(c.alias(k) for k, c in _shapes(text).items()), tokens.alias("tokens"))
+    extra = [] if carry is None else ["carried"]
+    return rows.select("doc_id", "text", *extra, *(c.alias(k) for k, c in _shapes(text).items()), tokens.alias("tokens"))
 
 
 def _trim(t: Column) -> Column:
@@ -156,9 +161,10 @@ def patterns(marked: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFr
     return score
 
 
-def find_pii(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+def find_pii(docs: DataFrame, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, text (if keep_text), span arrays email, ip, card, phone, context.
 
+    carry: more columns of ``docs`` to return, as the struct ``carried``.
     Spans are struct<start, end, value> in code points, end exclusive; ``context``
     spans are what the patterns discovered and touch no other span.  Null and
     empty texts have none; a null doc_id stays; repeated rows are searched each;
@@ -167,7 +173,8 @@ def find_pii(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     The texts are read twice: for spans and tokens, which are written as a narrow
     table, and for the counts of contexts, summed before they are shuffled.
     """
-    base = base_spans(docs)
+    base = base_spans(docs, carry)
+    own = [*(["text"] if keep_text else []), *(["carried"] if carry is not None else [])]
     kinds = ["email", "ip", "card", "phone"]
     tokens = F.transform("tokens", _trim)
     touches = lambda t: F.exists(
@@ -175,7 +182,7 @@ def find_pii(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     )
     found = persist_table(
         base.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", *(["text"] if keep_text else []), *kinds,
+            F.monotonically_increasing_id().alias("row"), "doc_id", *own, *kinds,
             F.transform(tokens, lambda t: t.withField("seed", touches(t).cast("int"))).alias("tokens"),
         ),
         "pii-spans",
@@ -192,7 +199,7 @@ def find_pii(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     )
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return found.join(new, "row", "left").select(
-        "doc_id", *(["text"] if keep_text else []), *kinds, F.coalesce("context", none).alias("context")
+        "doc_id", *own, *kinds, F.coalesce("context", none).alias("context")
     )
 
 

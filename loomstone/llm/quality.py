@@ -70,42 +70,43 @@ def _repeated(words: Column) -> Column:
     return let(windows, covered)
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, counts and shares of every whole text; null text has none, a null stratum is ''."""
-    rows = pick(docs, "doc_id", "text", stratum).select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(stratum, F.lit("")).alias("stratum")
-    )
-    text = F.col("text")
+def _facts(text: Column) -> Column:
+    """A struct of the counts, shares and fixed verdict of a text (not null)."""
 
-    def facts(words: Column) -> Column:
+    def counts(words: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]"))
+        without = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("bigint").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")).alias("n_dup_lines"),
-            F.size(lines).cast("bigint").alias("n_lines"),
+            without(SYMBOLS).alias("n_symbols"),
+            let(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("again"))).alias("lines"),
             _repeated(words).cast("bigint").alias("n_repeat_words"),
-            (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("n_upper"),
-            (F.length(text) - F.length(F.translate(text, "!?=_~^", ""))).cast("bigint").alias("n_marks"),
+            without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+            without("!?=_~^").alias("n_marks"),
         )
 
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return (
-        rows.select("doc_id", "stratum", let(_words(text), facts).alias("f"))
-        .select("doc_id", "stratum", "f.*")
-        .withColumns(
-            {
-                "symbol_share": share("n_symbols", "word_chars"),
-                "upper_share": share("n_upper", "word_chars"),
-                "dup_line_share": share("n_dup_lines", "n_lines"),
-                "mark_share": share("n_marks", "word_chars"),
-            }
-        )
-        .withColumn(
-            "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    def shares(f: Column) -> Column:
+        share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+        return F.struct(
+            *(f[n].alias(n) for n in ("n_words", "word_chars", "n_symbols")),
+            f["lines"]["again"].cast("bigint").alias("n_dup_lines"),
+            f["n_repeat_words"].alias("n_repeat_words"),
+            ((f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])).alias("base_failed"),
+            share(f["n_symbols"], f["word_chars"]).alias("symbol_share"),
+            share(f["n_upper"], f["word_chars"]).alias("upper_share"),
+            share(f["lines"]["again"], f["lines"]["all"]).alias("dup_line_share"),
+            share(f["n_marks"], f["word_chars"]).alias("mark_share"),
         )
-    )
+
+    return let(let(_words(text), counts), shares)
+
+
+def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """doc_id, stratum, counts and shares of every whole text; null text has none, a null stratum is ''."""
+    rows = pick(docs, "doc_id", "text", stratum)
+    facts = _facts(F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", F.coalesce(stratum, F.lit("")).alias("stratum"), facts.alias("f")).select("doc_id", "stratum", "f.*")
 
 
 def _ln_gamma(x: Column) -> Column:
@@ -179,16 +180,42 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang")
     repeated rows are judged each; an empty table gives no rows.
     """
     measured = persist_table(features(docs, stratum), "quality-features")
-    cut = thresholds(measured, labels)
-    # One row a stratum: few, and joined by Spark's own choice of strategy.
-    wide = cut.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("feature", "cutoff"))).alias("cuts"))
-    judged = measured.join(wide, "stratum", "left")
-    reasons = F.array_compact(
+    judged = measured.join(_cuts(thresholds(measured, labels)), "stratum", "left")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        _reasons(lambda f: F.col(f)).alias("reasons"),
+    ).withColumn("kept", F.size("reasons") == 0)
+
+
+def _cuts(cut: DataFrame) -> DataFrame:
+    """One row a stratum with its cutoffs as a map; few rows, joined by Spark's own choice of strategy."""
+    return cut.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("feature", "cutoff"))).alias("cuts"))
+
+
+def _reasons(value, cuts: str = "cuts") -> Column:
+    return F.array_compact(
         F.array(
-            F.when(F.col("base_failed"), F.lit("base")),
-            *(F.when(F.col(f) > F.try_element_at("cuts", F.lit(f)), F.lit(f)) for f in FEATURES),
+            F.when(value("base_failed"), F.lit("base")),
+            *(F.when(value(f) > F.try_element_at(cuts, F.lit(f)), F.lit(f)) for f in FEATURES),
         )
     )
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", reasons.alias("reasons")
-    ).withColumn("kept", F.size("reasons") == 0)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_verdicts` keeps, with all their columns.
+
+    The verdict is worked out beside each row, so nothing is joined back; the
+    cutoffs are few and come by their stratum.
+    """
+    mine = "loomstone_quality"
+    cut = persist_table(_cuts(thresholds(features(docs, stratum), labels)), "quality-cuts")
+    cut = cut.select(F.col("stratum").alias(f"{mine}_stratum"), F.col("cuts").alias(f"{mine}_cuts"))
+    has = stratum.lower() in {c.lower() for c in docs.columns}
+    judged = docs.withColumns(
+        {
+            mine: _facts(F.coalesce("text", F.lit(""))),
+            f"{mine}_stratum": F.coalesce(F.col(f"`{stratum}`").cast("string") if has else F.lit(None).cast("string"), F.lit("")),
+        }
+    ).join(cut, f"{mine}_stratum", "left")
+    good = F.size(_reasons(lambda f: F.col(f"{mine}.{f}"), f"{mine}_cuts")) == 0
+    return judged.filter(good).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontaminate, licenses, neardup, packing, pii, quality, secret_scan, tokenbin
+from loomstone.llm import (
+    decontaminate,
+    langid,
+    licenses,
+    neardup,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    tokenbin,
+    toxicity,
+)
 from loomstone.runtime import table
 
 
@@ -47,6 +58,16 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 """
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written bit-packed in doc_id order and read back."""
     return tokenbin.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -80,6 +101,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
