@@ -1,34 +1,11 @@
-"""Registry of the queries over the input tables and their DuckDB SQL."""
+"""All queries over the input tables; the modules register them as they are imported."""
 
-from __future__ import annotations
+from loomstone.plans import (  # noqa: F401
+    page_queries,
+    text_queries,
+    url_queries,
+    warehouse_queries,
+)
+from loomstone.plans.registry import ORACLES, QUERIES  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loomstone.runtime import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "event_counts"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can say it, its DuckDB twin."""
-
-    def add(f):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-@query("event_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by type."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+FLAGSHIP = "page_report"
