@@ -2,6 +2,7 @@
 
 from loomstone.plans import (  # noqa: F401
     page_queries,
+    parse_queries,
     text_queries,
     url_queries,
     warehouse_queries,
