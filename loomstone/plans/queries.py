@@ -1,6 +1,7 @@
 """All queries over the input tables; the modules register them as they are imported."""
 
 from loomstone.plans import (  # noqa: F401
+    crawl_queries,
     page_queries,
     parse_queries,
     text_queries,
