@@ -100,3 +100,20 @@ def nearest_question(spark, sf_dir):
 def labelled_quality(spark, sf_dir):
     l, d = table(spark, sf_dir, "labels"), _docs(spark, sf_dir)
     return l.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("good"), F.avg("toxic").alias("toxic"), F.count("*").alias("n"))
+
+
+@query("doc_budget_head", "SELECT doc_id, sha256(substr(text, 1, 800)) AS sha, CAST(greatest(length(text) - 800, 0) AS BIGINT) AS omitted, CASE WHEN length(text) <= 800 THEN 'whole' ELSE 'head' END AS selection FROM documents")
+def doc_budget_head(spark, sf_dir):
+    from loomstone.functions.budget import budgeted
+
+    d = _docs(spark, sf_dir).select("doc_id", budgeted(F.col("text"), 800).alias("b"))
+    return d.select("doc_id", F.sha2("b.text", 256).alias("sha"), "b.omitted", "b.selection")
+
+
+@query("doc_budget_ranked")
+def doc_budget_ranked(spark, sf_dir):
+    """Documents as blocks of one line each, cut to 800 characters for a query."""
+    from loomstone.functions.budget import budgeted
+
+    d = _docs(spark, sf_dir).select("doc_id", budgeted(F.replace("text", F.lit("\n"), F.lit("\n\n")), 800, Q).alias("b"))
+    return d.select("doc_id", F.length("b.text").alias("chars"), "b.omitted", "b.selection")
