@@ -46,12 +46,11 @@ s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(
     range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh FROM w),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
-e AS (SELECT doc_id, unnest(sh) AS x FROM s),
-l AS (
-  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
-  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, na.n_shingles, nb.n_shingles
-  HAVING 100 * count(*) >= 75 * (na.n_shingles + nb.n_shingles - count(*))),
+e AS (SELECT doc_id, unnest(list_transform(sh, lambda x: md5_number(x))) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+h AS (SELECT u, v FROM p JOIN n na ON na.doc_id = u JOIN n nb ON nb.doc_id = v
+  WHERE 100 * c >= 75 * (na.n_shingles + nb.n_shingles - c)),
+l AS (SELECT u, v FROM h UNION ALL SELECT v, u FROM h),
 r AS (SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
 c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)

@@ -90,3 +90,15 @@ def test_components(spark):
     out = dict(components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
     assert {v for k, v in out.items() if k <= 60} == {1} and len(out) == 60 + 3 + 4
     assert out[102] == 100 and out[203] == 200
+
+
+def test_query_equals_its_sql(spark, sf):
+    import duckdb
+    from loomstone.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    cur = con.execute(ORACLES["op2_near_duplicates"])
+    names = [d[0] for d in cur.description]
+    df = QUERIES["op2_near_duplicates"](spark, sf)
+    assert sorted(tuple(r[n] for n in names) for r in df.collect()) == sorted(cur.fetchall())
