@@ -31,6 +31,7 @@ ROUNDS = 3
 #: What a pattern needs: its score, and different seeds that it precedes.
 MIN_SCORE, MIN_SEEDS = 0.8, 5
 CONTEXT_CHARS = 64
+BUCKETS = 1 << 16
 
 
 def _digits(value: Column) -> Column:
@@ -139,7 +140,12 @@ def patterns(marked: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFr
             )
         ).alias("context")
     )
-    followed = pairs.join(able.select("context"), "context", "left_semi").groupBy("context").agg(F.count("*").alias("all"))
+    # The places of able contexts, at most BUCKETS numbers, thin out the corpus before it is
+    # counted; what other contexts share a place is counted too and joins with nothing.
+    places = [r[0] for r in able.select(F.pmod("context", F.lit(BUCKETS)).cast("int")).distinct().collect()]
+    followed = (
+        pairs.filter(F.pmod("context", F.lit(BUCKETS)).cast("int").isin(places)).groupBy("context").agg(F.count("*").alias("all"))
+    )
     edges = persist_table(
         edges.join(able, "context").join(followed, "context", "left").withColumn(
             "all", F.greatest(F.coalesce("all", F.lit(0)), F.col("n"))
