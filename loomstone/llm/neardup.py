@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "signed",
     )
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
+    # Written first, so that the join below stands alone and Spark may split a set with many copies.
+    sets = persist_table(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "sets")
     named = persist_table(
         full.join(sets, ["set_a", "set_b"]).select(
             "doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")
