@@ -140,11 +140,13 @@ def training_windows(docs: DataFrame, per_language: int = FIT_TEXTS) -> list[tup
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
     gap = F.greatest(F.lit(0), F.length("text") - WINDOW) / max(1, FIT_WINDOWS - 1)
     parts = F.array(*(F.substring("text", 1 + F.floor(gap * i).cast("int"), F.lit(WINDOW)) for i in range(FIT_WINDOWS)))
-    got = chosen.select("lang", F.array_distinct(parts).alias("parts"), F.xxhash64("doc_id").alias("h"), "doc_id").collect()
+    # Windows, not texts, go through the shuffle.
+    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.array_distinct(parts).alias("parts"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "parts")
+    chosen = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    got = chosen.select("lang", "parts", "h", "doc_id").collect()
     return [(r["lang"], r["parts"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["parts"]))]
 
 
