@@ -211,11 +211,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Data
     cut = persist_table(_cuts(thresholds(features(docs, stratum), labels)), "quality-cuts")
     cut = cut.select(F.col("stratum").alias(f"{mine}_stratum"), F.col("cuts").alias(f"{mine}_cuts"))
     has = stratum.lower() in {c.lower() for c in docs.columns}
-    judged = docs.withColumns(
-        {
-            mine: _facts(F.coalesce("text", F.lit(""))),
-            f"{mine}_stratum": F.coalesce(F.col(f"`{stratum}`").cast("string") if has else F.lit(None).cast("string"), F.lit("")),
-        }
-    ).join(cut, f"{mine}_stratum", "left")
-    good = F.size(_reasons(lambda f: F.col(f"{mine}.{f}"), f"{mine}_cuts")) == 0
+    own = F.col(f"`{stratum}`").cast("string") if has else F.lit(None).cast("string")
+    judged = docs.withColumn(f"{mine}_stratum", F.coalesce(own, F.lit(""))).join(cut, f"{mine}_stratum", "left")
+    # One expression from text to verdict: fields of a struct column would be worked out one by one.
+    good = let(
+        _facts(F.coalesce("text", F.lit(""))), lambda f: F.size(_reasons(lambda n: f[n], f"{mine}_cuts")) == 0
+    )
     return judged.filter(good).select(*(F.col(f"`{c}`") for c in docs.columns))
