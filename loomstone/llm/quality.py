@@ -208,7 +208,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Data
     cutoffs are few and come by their stratum.
     """
     mine = "loomstone_quality"
-    cut = persist_table(_cuts(thresholds(features(docs, stratum), labels)), "quality-cuts")
+    # Written, since a filter on one feature and the use of another would work the text through twice.
+    measured = persist_table(features(docs, stratum), "quality-features")
+    cut = persist_table(_cuts(thresholds(measured, labels)), "quality-cuts")
     cut = cut.select(F.col("stratum").alias(f"{mine}_stratum"), F.col("cuts").alias(f"{mine}_cuts"))
     has = stratum.lower() in {c.lower() for c in docs.columns}
     own = F.col(f"`{stratum}`").cast("string") if has else F.lit(None).cast("string")
