@@ -4,10 +4,11 @@ A passage of m characters that is found again with at most k edits shares at
 least m + 1 - q (k + 1) q-grams with its place, all on diagonals (text position
 less passage position) that lie within k of each other.  So hits of shared
 q-grams are counted in diagonal bands of twice the width k + 1 that overlap by
-half; bands that reach the bound are kept, and only they are aligned.
+half, for whole items first and then for the passages of what is left; bands
+that reach the bound are kept, and only they are aligned.
 
-Passages are windows of the benchmark items, so that a part of an item is found
-too.  Letter case and runs of white space do not count.
+Passages are short windows of the benchmark items at a small stride, so that any
+excerpt of WINDOW characters is found, wherever it starts.  Letter case and runs of white space do not count.
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.columns import pick
 
-Q = 12
+Q = 8
 #: Windows of long items, how far apart they start, and the share of a window that edits may touch.
-WINDOW, STRIDE, RATE = 120, 60, 0.06
+#: An excerpt of WINDOW characters lies within half a stride of a window, which costs no more edits than it may have.
+WINDOW, STRIDE, RATE = 50, 5, 0.08
+#: Items below this length match nothing.
+SHORTEST = 12
+#: Hits and alignments that are held at once.
+HITS, ALIGNED = 1 << 20, 2048
 #: Benchmark characters in one index; a larger benchmark is searched in several passes.
 INDEX_CHARS = 4_000_000
 _BITS = 21
@@ -45,28 +51,33 @@ def _folded(points: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(points: np.ndarray) -> np.ndarray:
-    """A hash of the Q characters from each place on."""
+    """A hash of the Q characters (12 at most) from each place on."""
     if len(points) < Q:
         return np.zeros(0, np.uint64)
     data = np.concatenate([_folded(points), np.zeros(8, np.uint8)])
     n = len(points) - Q + 1
     eight = np.ndarray((n,), "<u8", data, 0, (1,))
     four = np.ndarray((n,), "<u4", data, 8, (1,))
-    out = eight * _U(0x9E3779B97F4A7C15)
+    # Only the first Q bytes of the twelve count.
+    out = (eight & _U((1 << 8 * min(Q, 8)) - 1)) * _U(0x9E3779B97F4A7C15)
+    if Q > 8:
+        out ^= out >> _U(32)
+        out += (four & np.uint32((1 << 8 * (Q - 8)) - 1)).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
     out ^= out >> _U(32)
-    out += four.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
     out *= _U(0xD6E8FEB86659FD93)
     return out ^ (out >> _U(29))
 
 
-def windows(text: str) -> list[str]:
-    """The passages of an item: itself if short, else overlapping windows; none below Q characters."""
-    if len(text) < Q:
+def window_starts(text: str) -> list[int]:
+    """Where the passages of an item start; the last one ends with the item."""
+    if len(text) < SHORTEST:
         return []
-    if len(text) <= WINDOW:
-        return [text]
-    starts = [*range(0, len(text) - WINDOW, STRIDE), len(text) - WINDOW]
-    return [text[s : s + WINDOW] for s in starts]
+    return [*range(0, len(text) - WINDOW, STRIDE), max(0, len(text) - WINDOW)]
+
+
+def windows(text: str) -> list[str]:
+    """The passages of an item: itself if short, else overlapping windows; none below SHORTEST characters."""
+    return [text[s : s + WINDOW] for s in window_starts(text)]
 
 
 def budget(m: int) -> int:
@@ -75,34 +86,42 @@ def budget(m: int) -> int:
 
 
 class Index:
-    """The q-grams of a bounded set of passages."""
+    """The q-grams of a bounded set of items, each gram once for each place in its item."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.passages, self.item = [], []
+        self.item, points, starts = [], [], []
         for item_id, text in items:
-            for w in windows(normalize(text)):
-                self.passages.append(w)
+            text = normalize(text)
+            if begins := window_starts(text):
                 self.item.append(item_id)
-        self.length = np.array([len(p) for p in self.passages], dtype=np.int64)
-        self.edits = np.array([budget(len(p)) for p in self.passages], dtype=np.int64)
+                points.append(code_points(text))
+                starts.append(np.array(begins, dtype=np.int32))
+        #: All items' characters, and where each item begins; of each passage its start in the item; of each item
+        #: its first passage, how many there are, and their length.
+        self.points = np.concatenate(points) if points else np.zeros(0, np.uint32)
+        size = np.array([len(p) for p in points], dtype=np.int64)
+        self.origin = np.cumsum(size) - size
+        self.begins = np.concatenate(starts) if starts else np.zeros(0, np.int32)
+        self.count = np.array([len(x) for x in starts], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.length = np.minimum(size, WINDOW)
+        self.edits = np.array([budget(m) for m in self.length.tolist()], dtype=np.int64)
         self.need = self.length + 1 - Q * (self.edits + 1)
-        hashes = [gram_hashes(code_points(p)) for p in self.passages]
+        hashes = [gram_hashes(p) for p in points]
         sizes = [len(h) for h in hashes]
         grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        passage = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         place = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, np.int64)
         order = np.argsort(grams, kind="stable")
-        self.grams, first = np.unique(grams, return_index=False), None
-        sorted_grams = grams[order]
-        first = np.searchsorted(sorted_grams, self.grams)
-        self.bounds = np.append(first, len(grams))
-        self.passage, self.place = passage[order].astype(np.int32), place[order].astype(np.int32)
+        self.grams = np.unique(grams)
+        self.bounds = np.append(np.searchsorted(grams[order], self.grams), len(grams))
+        self.owner, self.place = owner[order].astype(np.int32), place[order].astype(np.int32)
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[(self.grams >> _U(64 - _BITS)).astype(np.int64)] = True
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(index of the text, index of the passage, edits) of every match; texts are normalized."""
-        if not self.passages or not texts:
+        """(index of the text, index of the item, fewest edits) of every match; texts are normalized."""
+        if not self.item or not texts:
             return
         points = code_points("\x00".join(texts))
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
@@ -112,32 +131,89 @@ class Index:
         gram = np.minimum(np.searchsorted(self.grams, found), len(self.grams) - 1)
         real = self.grams[gram] == found
         at, gram = at[real], gram[real]
+        # Slices bound the hits that are held at once; a slice has whole texts.
         counts = self.bounds[gram + 1] - self.bounds[gram]
-        entry = np.repeat(self.bounds[gram] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        at = np.repeat(at, counts)
-        passage, place = self.passage[entry].astype(np.int64), self.place[entry]
         row = np.searchsorted(starts, at, side="right") - 1
-        diagonal = at - starts[row] - place
-        width = self.edits[passage] + 1
-        band = diagonal // width
-        offset = int(-band.min()) + 1 if len(band) else 0
-        span = int(band.max()) + offset + 2 if len(band) else 1
-        key = (row * len(self.passages) + passage) * span + band + offset
-        keys, hits = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        pair, low = keys // span, keys % span - offset
-        which = pair % len(self.passages)
-        enough = hits >= self.need[which]
-        done: dict[tuple[int, int], int] = {}
-        for p, b in zip(pair[enough].tolist(), low[enough].tolist(), strict=True):
-            r, w = divmod(p, len(self.passages))
-            k = int(self.edits[w])
-            start = max(0, b * (k + 1) - k)
-            stop = (b + 2) * (k + 1) + len(self.passages[w]) + k
-            edits = distance(self.passages[w], texts[r][start:stop], k)
-            if edits is not None and edits < done.get((r, w), k + 1):
-                done[r, w] = edits
-        for (r, w), edits in done.items():
-            yield r, w, edits
+        total = np.cumsum(counts)
+        low = 0
+        while low < len(at):
+            high = int(np.searchsorted(total, (total[low - 1] if low else 0) + HITS, side="right"))
+            high = int(np.searchsorted(row, row[min(max(high, low), len(row) - 1)], side="left")) if high < len(at) else high
+            if high <= low:
+                high = int(np.searchsorted(row, row[low], side="right"))
+            yield from self._matches(points, starts, at[low:high], gram[low:high], row[low:high])
+            low = high
+
+    def _matches(self, points, starts, at, gram, row) -> Iterator[tuple[int, int, int]]:
+        counts = self.bounds[gram + 1] - self.bounds[gram]
+        entry = np.repeat(self.bounds[gram] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        at, row = np.repeat(at, counts), np.repeat(row, counts)
+        owner, place = self.owner[entry].astype(np.int64), self.place[entry].astype(np.int64)
+        band = (at - starts[row] - place) // (self.edits[owner] + 1)
+        if not len(band):
+            return
+        # Whole items first: few of them have enough hits on near diagonals for any of their passages.
+        offset = int(-band.min()) + 1
+        span = int(band.max()) + offset + 2
+        key = (row * len(self.item) + owner) * span + band + offset
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        hits, ordered = np.diff(np.append(edge, len(key))), ordered[edge]
+        need = self.need[ordered // span % len(self.item)]
+        joint = ordered[1:] == ordered[:-1] + 1
+        pair = hits + np.append(np.where(joint, hits[1:], 0), 0)
+        enough = pair >= need
+        enough[1:] |= joint & enough[:-1]
+        left = order[np.repeat(enough, hits)]
+        row, owner, place, band = row[left], owner[left], place[left], band[left]
+        # Then their passages: a gram counts for those that hold it whole.
+        begins = np.repeat(self.first[owner], n := self.count[owner]) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        which = np.repeat(np.arange(len(owner)), n)
+        gap = place[which] - self.begins[begins]
+        inside = (gap >= 0) & (gap <= self.length[owner[which]] - Q)
+        passage, which = begins[inside], which[inside]
+        if not len(which):
+            return
+        key = (row[which] * len(self.begins) + passage) * span + band[which] + offset
+        keys, first, hits = np.unique(np.concatenate([key, key - 1]), return_index=True, return_counts=True)
+        which = np.concatenate([which, which])[first]
+        enough = hits >= self.need[owner[which]]
+        pair, low, items = keys[enough] // span, keys[enough] % span - offset, owner[which[enough]]
+        rows, begins = pair // len(self.begins), self.begins[pair % len(self.begins)]
+        best: dict[tuple[int, int], int] = {}
+        for k, m in sorted(set(zip(self.edits[items].tolist(), self.length[items].tolist(), strict=True))):
+            mine = np.flatnonzero((self.edits[items] == k) & (self.length[items] == m))
+            for c in range(0, len(mine), ALIGNED):
+                part = mine[c : c + ALIGNED]
+                r, i, b = rows[part], items[part], begins[part]
+                places = (starts[r] + b + low[part] * (k + 1) - k)[:, None] + np.arange(m + 4 * k + 1)
+                real = (places >= starts[r][:, None]) & (places < starts[r + 1][:, None] - 1)
+                regions = np.where(real, points[np.clip(places, 0, len(points) - 1)], 0)
+                edits = distances(self.points[(self.origin[i] + b)[:, None] + np.arange(m)], regions)
+                for x in np.flatnonzero(edits <= k).tolist():
+                    at = int(r[x]), int(i[x])
+                    best[at] = min(int(edits[x]), best.get(at, k))
+        for (r, i), edits in best.items():
+            yield r, i, edits
+
+
+def distances(passages: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Row by row the fewest edits that turn a passage into a part of its region, along the diagonals that start in it.
+
+    The lanes are the diagonals on which the passage's length fits; a region's 0 matches nothing.
+    """
+    m = passages.shape[1]
+    lanes = regions.shape[1] - m + 1
+    p, r = np.ascontiguousarray(passages.T), np.ascontiguousarray(regions.T)
+    now = np.zeros((lanes, len(passages)), np.uint8)
+    for i in range(m):
+        step = now + (r[i : i + lanes] != p[i])
+        np.minimum(step[:-1], now[1:] + 1, out=step[:-1])
+        for j in range(1, lanes):
+            np.minimum(step[j], step[j - 1] + 1, out=step[j])
+        now = step
+    return now.min(axis=0)
 
 
 def distance(passage: str, region: str, k: int) -> int | None:
@@ -197,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits): each benchmark item of which a document holds a passage.
 
     ``edits`` is the fewest over the item's passages.  Null and empty texts hold
-    nothing; items below Q characters are too short to tell and match nothing; a
+    nothing; items below SHORTEST characters are too short to tell and match nothing; a
     null doc_id or item_id is reported as null; repeated rows give one row; an
     empty table gives no rows.  The index of at most INDEX_CHARS characters goes
     to every executor; a larger benchmark makes several passes over the texts.

@@ -65,6 +65,26 @@ def test_against_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k, _ in docs if k not in dirty)
 
 
+def test_any_short_excerpt_and_reworded_copies(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(45)) for i in range(40)]
+    docs = []
+    for i, text in items:
+        at = rng.randrange(len(text) - 50)
+        docs.append((i, f"QQQ {text[at : at + 50]} ZZZ"))
+        words = text.split()
+        for w in rng.sample(range(45), 5):
+            words[w] = rng.choice(vocab)
+        docs.append((1000 + i, " ".join(words)))
+    docs += [(2000 + i, say(300)) for i in range(20)]
+    docs.append((3000, items[0][1][8:172]))
+    out = d.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in out.collect()}
+    assert got == {(i, i) for i in range(40)} | {(1000 + i, i) for i in range(40)} | {(3000, 0)}
+
+
 def test_several_passes_agree(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
