@@ -4,7 +4,7 @@ Rolling hashes of k words meet the positions of the same hashes in the license
 templates; hits of one document and template vote for their offset (document
 position less template position), neighbouring offsets are merged, so that a
 word more or less does not break a span, and spans are verified by how much of
-the template they cover.
+the template they cover and by the words that tell licences apart.
 """
 
 from __future__ import annotations
@@ -52,7 +52,20 @@ TEMPLATES = {
         "licensed under cc by sa 4 0",
         "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     ],
+    "cc-by-nd": [
+        "licensed under cc by nd 4 0",
+        "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    ],
+    "cc-by-nc-sa": [
+        "licensed under cc by nc sa 4 0",
+        "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    ],
+    "cc-by-nc-nd": [
+        "licensed under cc by nc nd 4 0",
+        "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
+    ],
     "gpl-3": [
+        "licensed under the gnu general public license version 3",
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
         "license as published by the free software foundation either version 3 of the license or at your option any later "
@@ -73,6 +86,14 @@ TEMPLATES = {
         "this source code form is subject to the terms of the mozilla public license v 2 0",
     ],
 }
+#: Words that tell a licence from its near relatives: each that a template holds must stand in a span (GRAM words at most).
+KEYS = [
+    "gnu general", "license version 2", "license version 3", "either version 2", "either version 3", "mit license",
+    "apache license", "mozilla public", "by 4 0", "by nc 4", "by sa 4", "by nd 4", "by nc sa", "nc sa 4", "by nc nd", "nc nd 4",
+    "attribution 4", "attribution noncommercial 4", "attribution sharealike 4", "attribution noderivatives 4",
+    "attribution noncommercial sharealike", "noncommercial sharealike 4",
+    "attribution noncommercial noderivatives", "noncommercial noderivatives 4",
+]
 GRAM = 3
 #: Offsets that differ by at most this much are one diagonal.
 DRIFT = 2
@@ -94,6 +115,18 @@ def template_grams(spark: SparkSession, templates: dict[str, list[str]] = TEMPLA
     )
 
 
+def key_grams(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """(template, keys): for each of KEYS in a template the gram positions that hold it, a fixed small table."""
+    rows = []
+    for i, words in enumerate(t.split() for ts in templates.values() for t in ts):
+        keys = []
+        for key in (k.split() for k in KEYS):
+            at = [j for j in range(len(words) - GRAM + 1) if any(words[j + x : j + x + len(key)] == key for x in range(GRAM - len(key) + 1))]
+            keys += [at] if at else []
+        rows.append((i, keys))
+    return spark.createDataFrame(rows, "template int, keys array<array<int>>")
+
+
 def _places(words: Column, text: Column, phrase: str) -> Column:
     """Word positions where the phrase stands; texts without its rarest words skip the search."""
     parts = phrase.split()
@@ -156,10 +189,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     merged = votes.groupBy("row", "template", "label", "grams").agg(
         F.array_sort(F.collect_list(F.struct("diagonal", "low", "high", "ats"))).alias("d")
     )
-    chains = merged.select("row", "label", "grams", F.explode(_chain(F.col("d"))).alias("c"))
+    chains = merged.select("row", "template", "label", "grams", F.explode(_chain(F.col("d"))).alias("c"))
     spans = (
         chains.withColumn("cover", F.size(F.array_distinct("c.ats")) / F.col("grams"))
         .filter(F.col("cover") >= COVER)
+        .join(F.broadcast(key_grams(spark, templates)), "template")
+        .filter(F.forall("keys", lambda k: F.arrays_overlap(k, F.col("c.ats"))))
         .groupBy("row")
         .agg(
             F.array_sort(

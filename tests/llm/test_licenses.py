@@ -63,6 +63,27 @@ def test_against_brute_force(spark):
     assert by[4]["labels"] == by[5]["labels"] == "gpl-3" and by[6]["labels"] == "" and by[None]["labels"] == "cc-by"
 
 
+def test_near_licences_are_told_apart(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    gnu = "Licensed under the GNU {}General Public License, version {}."
+    rows = [
+        (gnu.format("", 3), "gpl-3"),
+        (gnu.format("", 2), "gpl-2"),
+        (gnu.format("", 1), ""),
+        ("This work is l" + gnu.format("Lesser ", 3)[1:], ""),
+        (cc.format(""), "cc-by"),
+        (cc.format("-NoDerivatives"), "cc-by-nd"),
+        (cc.format("-NonCommercial"), "cc-by-nc"),
+        (cc.format("-ShareAlike"), "cc-by-sa"),
+        (cc.format("-NonCommercial-ShareAlike"), "cc-by-nc-sa"),
+        (cc.format("-NonCommercial-NoDerivatives"), "cc-by-nc-nd"),
+        ("Licensed under CC BY-ND 4.0", "cc-by-nd"),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in L.license_digest(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows]
+
+
 def test_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check(L.license_digest(docs), [(r["doc_id"], r["text"]) for r in docs.collect()])
