@@ -5,6 +5,8 @@ boundaries, and a single space always starts a new pre-token.  So the ids of a
 text are those of its space-separated pieces, joined; frequent pieces are
 encoded once per worker.  Runs of spaces and a space at the end are where a
 boundary depends on what follows: such texts are cut by the general rule.
+Texts that hold an added token of the file (such as an end mark) go through the
+library whole, which finds those tokens before anything else.
 """
 
 from __future__ import annotations
@@ -93,9 +95,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
+        self._added = re.compile("|".join(added)).search if added else lambda text: None
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (
             not spec.get("normalizer")
@@ -141,7 +144,7 @@ class Encoder:
         """The ids as little-endian uint32 bytes; null is empty."""
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or self._added(text):
             return np.asarray(self._encode(text), dtype="<u4").tobytes()
         if "  " in text or _SPACE_CHAR.match(text[-1]):
             return b"".join(map(self._bare.__getitem__, _GENERAL.findall(text)))

@@ -19,7 +19,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -31,6 +30,17 @@ def test_pieces_equal_the_library(encoder, plain):
         assert encoder.ids(text).tolist() == plain(text), repr(text)
 
 
+def test_added_tokens_are_the_librarys(encoder, plain):
+    end = "<|endoftext|>"
+    bits = [end, end[:-1], end[1:], end, " ", "\n", "a", "word", " word", "1", "漢", "<|", "|>", "  "]
+    rng = random.Random(4)
+    texts = [end, end * 3, f"a{end}b", f" {end} ", f"{end}\n", f"x {end}"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    for text in texts:
+        assert encoder.ids(text).tolist() == plain(text), repr(text)
+    assert encoder.ids(f"hi {end} there").tolist().count(50256) == 1
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     rng = np.random.default_rng(bits)
