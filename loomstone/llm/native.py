@@ -28,42 +28,95 @@ def split_words(text: Column, separators: str) -> Column:
     return F.filter(F.split(text, f"[{separators}]+"), lambda w: w != "")
 
 
+#: Folds that give an array work in runs of this many values.
+RUN = 32
+_WORD = f"[^{WS}]++"
+
+
+def scan(
+    values: Column, zero: Column, advance: Callable[[Column, Column], Column], item: Callable[[Column, Column], Column], kind: str
+) -> Column:
+    """The items of a fold over ``values``: item(state, value), where it is not null, before each advance(state, value).
+
+    zero: the first state.  kind: the type of the resulting array.  A fold copies
+    its state at each step, so a first one keeps only the states at which runs of
+    values begin, and the runs are gone through each on its own: work grows with
+    n + (n / RUN)^2 small copies, not with n^2 large ones.
+    """
+
+    def runs(bound: Column) -> Column:
+        def values_of(k: Column) -> Column:
+            places = F.sequence(k * RUN, F.least((k + 1) * RUN, F.size(bound)) - 1)
+            return F.transform(places, lambda i: F.get(bound, i))  # a slice would copy the whole array
+
+        def begin(acc: Column, k: Column) -> Column:
+            return F.struct(
+                F.aggregate(values_of(k), acc["state"], advance).alias("state"),
+                F.concat(acc["past"], F.array(acc["state"])).alias("past"),
+            )
+
+        def one(state: Column, k: Column) -> Column:
+            grown = lambda acc, made: F.when(made.isNotNull(), F.concat(acc["items"], F.array(made).cast(kind))).otherwise(acc["items"])
+            step = lambda acc, value: F.struct(
+                advance(acc["state"], value).alias("state"), grown(acc, item(acc["state"], value)).alias("items")
+            )
+            start = F.struct(state.alias("state"), F.array().cast(kind).alias("items"))
+            return F.aggregate(values_of(k), start, step, lambda acc: acc["items"])
+
+        count = F.ceil(F.size(bound) / RUN).cast("int")
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        none = F.filter(F.array(zero), lambda x: F.lit(False))
+        begun = F.aggregate(places, F.struct(zero.alias("state"), none.alias("past")), begin, lambda acc: acc["past"])
+        return F.flatten(F.transform(begun, one))
+
+    return let(values, runs)
+
+
 def matches(
     text: Column,
     pattern: str,
-    gate: str | None = None,
+    gate: Column | str | None = None,
     keep: Callable[[Column], Column] | None = None,
-    extra: Callable[[Column, Column, Column], dict[str, Column]] | None = None,
-    extra_type: str = "",
+    words: bool = False,
 ) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, value>> in code points, end exclusive.
 
     The text is cut at its matches, and a fold over (gap, match) adds the
-    lengths, so no position is searched twice.  gate: a pattern that every text
-    with a kept match has, for skipping the rest.  keep: which values to keep.
-    extra(gap, start, value): more fields of each span, declared by extra_type.
+    lengths, so no position is searched twice.  gate: a condition, or a pattern,
+    that every text with a kept match meets, for skipping the rest.  keep: which
+    values to keep.  words: also ``first`` and ``last``, the indices of the words
+    (parts without ASCII white space) in which the match begins and ends.
     """
-    kind = f"array<struct<start:int,end:int,value:string{extra_type}>>"
-    none = F.array().cast(kind)
+    kind = "array<struct<start:int,end:int,value:string" + (",first:int,last:int>>" if words else ">>")
     pairs = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
     )
-
-    def step(acc: Column, pair: Column) -> Column:
-        gap, hit = pair["0"], pair["1"]
-        start = acc["at"] + F.length(gap)
-        end = start + F.coalesce(F.length(hit), F.lit(0))
-        more = extra(gap, start, hit) if extra else {}
-        span = F.struct(start.alias("start"), end.alias("end"), hit.alias("value"), *(c.alias(n) for n, c in more.items()))
-        good = hit.isNotNull() & (F.coalesce(keep(hit), F.lit(False)) if keep else F.lit(True))
-        return F.struct(
-            end.alias("at"),
-            F.when(good, F.concat(acc["spans"], F.array(span).cast(kind))).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    first = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    found = F.aggregate(F.transform(pairs, lambda p: F.struct(p["gap"].alias("0"), p["hit"].alias("1"))), first, step, lambda a: a["spans"])
-    return F.when(text.rlike(gate or pattern), found).otherwise(none)
+    pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), F.coalesce(p["hit"], F.lit("")).alias("hit")))
+
+    def passed(state: Column, part: Column) -> Column:
+        """The state behind one more part of the text: length, words begun, and 1 if one is open."""
+        begun = F.regexp_count(F.concat(F.when(state["open"] == 1, "x").otherwise(""), part), F.lit(_WORD))
+        last = F.when(part == "", state["open"]).otherwise(part.rlike(rf"[^{WS}]\z").cast("int"))
+        more = [(state["begun"] + begun - state["open"]).alias("begun"), last.alias("open")] if words else []
+        return F.struct((state["at"] + F.length(part)).alias("at"), *more)
+
+    def item(state: Column, pair: Column) -> Column:
+        def span(before: Column, after: Column) -> Column:
+            more = [(before["begun"] - before["open"]).alias("first"), (after["begun"] - 1).alias("last")] if words else []
+            return F.struct(before["at"].alias("start"), after["at"].alias("end"), pair["hit"].alias("value"), *more)
+
+        good = (pair["hit"] != "") & (F.coalesce(keep(pair["hit"]), F.lit(False)) if keep else F.lit(True))
+        made = let(passed(state, pair["gap"]), lambda b: let(passed(b, pair["hit"]), lambda a: span(b, a)))
+        return F.when(good, made)
+
+    def advance(state: Column, pair: Column) -> Column:
+        return let(passed(state, pair["gap"]), lambda b: passed(b, pair["hit"]))
+
+    zero = F.struct(F.lit(0).alias("at"), *([F.lit(0).alias("begun"), F.lit(0).alias("open")] if words else []))
+    found = scan(pairs, zero, advance, item, kind)
+    if gate is None or isinstance(gate, str):
+        gate = text.rlike(gate or pattern)
+    return F.when(gate, found).otherwise(F.array().cast(kind))
 
 
 def joined(kinds: list[tuple[str, Column]], by_start: bool) -> Column:

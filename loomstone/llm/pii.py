@@ -1,11 +1,11 @@
 """Personal data: known shapes, and unseen identifiers by bootstrapped contexts.
 
 Spans of the known shapes are seeds.  The two words before a seed are a lexical
-pattern.  Tokens that look like identifiers are instances, known or not yet.
-Patterns and instances make a graph of counts, scored in turns: a pattern is as
-good as the instances it precedes, weighed against all that ever follows it; an
-instance is as likely as the patterns that precede it make it.  Instances of
-patterns with a high score and enough different seeds become spans.
+pattern, whatever stands behind them an instance, known or not yet.  Patterns
+and instances make a graph of counts, scored in turns: a pattern is as good as
+the instances it precedes, weighed against all that ever follows it; an instance
+is as likely as the patterns that precede it make it.  Unseen instances of
+patterns with a high score become spans.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.columns import pick
-from loomstone.llm.native import WS, ascii_lower, joined, let, matches, split_words
-from loomstone.runtime import persist_table
+from loomstone.llm.native import WS, joined, let, matches
+from loomstone.runtime import drop_table, persist_table
 
 # The known shapes.  Possessive forms match what the plain ones do
 # and keep the regex engine from going back over long runs.
@@ -25,13 +25,16 @@ IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CARD_GATE = r"[0-9](?:[\x20-]?[0-9]){15}"
-#: A token with five figures or more, the only kind that contexts can discover.
-TOKEN = rf"(?<![^{WS}])(?:[^{WS}0-9]*+[0-9]){{5}}[^{WS}]*+"
+BASE_KINDS = ["email", "ip", "card", "phone"]
+#: What is cut off around a word that stands in the place of an identifier (fixed value).
+MARKS = "!\"'(),.:;<>?[]{}|*"
 ROUNDS = 3
-#: What a pattern needs: its score, and different seeds that it precedes.
-MIN_SCORE, MIN_SEEDS = 0.8, 5
-CONTEXT_CHARS = 64
-BUCKETS = 1 << 16
+#: What a pattern needs: its score, different seeds that it precedes, and the share of its places that seeds fill.
+MIN_SCORE, MIN_SEEDS, MIN_SHARE = 0.8, 5, 0.5
+#: What an unseen instance needs.
+MIN_BELIEF = 0.5
+#: The largest Bloom filter, in bits (2 MB); beyond a quarter as many hashes none is used.
+MASK_BITS = 1 << 24
 
 
 def _digits(value: Column) -> Column:
@@ -63,26 +66,46 @@ def _is_phone(value: Column) -> Column:
     return F.length(_digits(value)).between(8, 15)
 
 
-def _context(before: Column) -> Column:
-    """Hash of the last two words of a text in lower case; null if there are fewer."""
-    tail = ascii_lower(F.regexp_extract(before, rf"([^{WS}]+[{WS}]+[^{WS}]+)[{WS}]+$", 1))
-    return F.when(tail != "", F.xxhash64(F.regexp_replace(tail, f"[{WS}]+", " ")))
-
-
 def _shapes(text: Column) -> dict[str, Column]:
+    has = lambda mark, shape: text.contains(mark) & text.rlike(shape)
     return {
-        "email": matches(text, EMAIL, gate=r"@[A-Za-z0-9-]+\."),
-        "ip": matches(text, IP, keep=_is_ip),
-        "card": matches(text, CARD, gate=CARD_GATE, keep=_is_card),
-        "phone": matches(text, PHONE, keep=_is_phone),
+        "email": matches(text, EMAIL, gate=has("@", r"@[A-Za-z0-9-]+\."), words=True),
+        "ip": matches(text, IP, keep=_is_ip, words=True),
+        "card": matches(text, CARD, gate=CARD_GATE, keep=_is_card, words=True),
+        "phone": matches(text, PHONE, gate=has("+", PHONE), keep=_is_phone, words=True),
     }
 
 
-def base_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id and text with the span arrays email, ip, card, phone, and all tokens with five figures.
+def _lower_words(text: Column) -> Column:
+    """The words in lower case; a blank text has one empty word."""
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), f"[{WS}]+")
+
+
+def _contexts(words: Column) -> Column:
+    """At k the hash of words k and k + 1, the context of word k + 2; null for the last two."""
+    following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.zip_with(words, following, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+
+
+def _seeds(text: Column, spans: Column) -> Column:
+    """array<struct<context, value>>: one for each word in which a known span begins and that two words precede."""
+    begun = F.array_sort(
+        F.transform(F.filter(spans, lambda s: s["first"] >= 2), lambda s: F.struct(s["first"], s["start"], s["value"]))
+    )
+    once = let(begun, lambda b: F.filter(b, lambda s, i: (i == 0) | (F.get(b, i - 1)["first"] != s["first"])))
+    found = let(
+        _contexts(_lower_words(text)),
+        lambda c: F.transform(
+            once, lambda s: F.struct(F.get(c, s["first"] - 2).alias("context"), F.xxhash64(s["value"]).alias("value"))
+        ),
+    )
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast("array<struct<context:bigint,value:bigint>>"))
+
+
+def known_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """row, doc_id, text, span arrays email, ip, card, phone with their words, and the contexts of seeds, written.
 
-    ``tokens`` are struct<start, end, value, context>: value without marks at its
-    ends, context the hash of the two words before.
+    ``row`` numbers the rows; a written table keeps the numbers the same for all readers.
     """
     if carry is None:
         rows = pick(docs, "doc_id", "text")
@@ -90,81 +113,160 @@ def base_spans(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         whole = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(0))
         rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), whole.alias("carried"))
     text = F.coalesce("text", F.lit(""))
+    extra = [] if carry is None else ["carried"]
+    shapes = rows.select("doc_id", "text", *extra, *(c.alias(k) for k, c in _shapes(text).items()))
+    seeds = let(F.concat(*BASE_KINDS), lambda spans: _seeds(text, spans)).alias("seeds")
+    row = F.monotonically_increasing_id().alias("row")
+    return persist_table(shapes.select(row, "doc_id", "text", *extra, *BASE_KINDS, seeds), "pii-spans")
 
-    def more(gap: Column, start: Column, hit: Column) -> dict[str, Column]:
-        # Between tokens lies at least white space; the words before are cut from the text.
-        low = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        return {"context": _context(F.substring(text, low + 1, start - low))}
 
-    tokens = matches(text, TOKEN, gate=TOKEN, extra=more, extra_type=",context:bigint")
-    extra = [] if carry is None else ["carried"]
-    return rows.select("doc_id", "text", *extra, *(c.alias(k) for k, c in _shapes(text).items()), tokens.alias("tokens"))
-
-
-def _trim(t: Column) -> Column:
-    """A token without the marks around it, with its span."""
-    lead = F.length(t["value"]) - F.length(F.regexp_replace(t["value"], "^[^0-9A-Za-z+]+", ""))
-    core = F.regexp_replace(F.regexp_replace(t["value"], "^[^0-9A-Za-z+]+", ""), "[^0-9A-Za-z]+$", "")
-    return F.struct(
-        (t["start"] + lead).alias("start"),
-        (t["start"] + lead + F.length(core)).alias("end"),
-        core.alias("value"),
-        t["context"].alias("context"),
+def _mask(hashes: DataFrame, column: str) -> tuple[DataFrame, int] | None:
+    """A Bloom filter of a column of hashes as a frame of one row, ``mask`` array<bigint>, and its size in bits.
+
+    Sixteen bits a hash at least and MASK_BITS at most, so the row is bounded;
+    None where that is too small to be of use, and nothing is thinned out then.
+    """
+    n = hashes.count()
+    if 4 * n > MASK_BITS:
+        return None
+    bits = min(MASK_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    places = hashes.select(F.explode(F.array(*(_place(F.col(column), k, bits) for k in (0, 32)))).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).cast("bigint").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, p & 63)")).alias("b")
     )
+    every = hashes.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("w"), "left")
+    row = F.array_sort(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))))
+    return every.agg(F.transform(row, lambda x: x["b"]).alias("mask")), bits
+
+
+def _place(h: Column, shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(bits - 1).cast("bigint")).cast("int")
+
+
+def _masked(h: Column, mask: Column, bits: int) -> Column:
+    """Whether the filter may hold the hash."""
+
+    def held(k: int) -> Column:
+        at = _place(h, k, bits)
+        return F.getbit(F.get(mask, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))) == 1
 
+    return held(0) & held(32)
 
-def patterns(marked: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(context, score, seeds): how well each lexical pattern tells identifiers, by rounds over the graph.
 
-    marked: (context, value hash, is seed) of all tokens.  docs: all texts, for how
-    often a context stands before anything at all.
+def _thinned(rows: DataFrame, h: str, hashes: DataFrame, column: str) -> DataFrame:
+    """The rows whose hash ``h`` may be among ``hashes``; others are gone, a few strangers stay."""
+    made = _mask(hashes, column)
+    if made is None:
+        return rows
+    mask, bits = made
+    return rows.filter(_masked(F.col(h), mask.scalar(), bits))
+
+
+def candidate_patterns(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The contexts that may be patterns, and the seeds in them.
+
+    (context, seeds, all): contexts of MIN_SEEDS different seeds at least, whose
+    seeds fill MIN_SHARE at least of the ``all`` places that follow the context
+    in the corpus.  (context, value, n): how often each seed stands in them.
     """
-    edges = persist_table(
-        marked.filter("context is not null").groupBy("context", "value").agg(
-            F.count("*").alias("n"), F.max("seed").alias("seed")
+    seeds = persist_table(
+        spans.filter(F.size("seeds") > 0).select(F.explode("seeds").alias("s")).groupBy("s.context", "s.value").agg(
+            F.count("*").alias("n")
         ),
-        "pii-edges",
+        "pii-seeds",
     )
-    # Only contexts of enough different seeds can pass; all others are left out before the corpus is read.
-    able = edges.groupBy("context").agg(F.count_if(F.col("seed") == 1).alias("seeds")).filter(F.col("seeds") >= MIN_SEEDS)
+    able = seeds.groupBy("context").agg(F.count("*").alias("seeds"), F.sum("n").alias("filled")).filter(F.col("seeds") >= MIN_SEEDS)
     able = persist_table(able, "pii-able")
-    words = pick(docs, "text").select(split_words(ascii_lower(F.coalesce("text", F.lit(""))), WS).alias("w"))
-    pairs = words.select(
-        F.explode(
-            let(
-                F.col("w"),
-                lambda w: F.transform(
-                    F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>")),
-                    lambda i: F.xxhash64(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))),
-                ),
-            )
-        ).alias("context")
+    followed = spans.select(_lower_words(F.coalesce("text", F.lit(""))).alias("w")).select(
+        F.explode(let(F.col("w"), _contexts)).alias("h")
+    )
+    counts = _thinned(followed, "h", able, "context").groupBy("h").agg(F.count("*").alias("all"))
+    share = F.col("filled") / F.col("all")
+    chosen = able.join(counts, able.context == counts.h).filter(share >= MIN_SHARE).select("context", "seeds", "all")
+    chosen = persist_table(chosen, "pii-candidates")
+    kept = seeds.join(chosen.select("context"), "context", "left_semi")
+    drop_table(able)
+    return chosen, kept
+
+
+def _fillers(spans: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(row, start, end, core, context): words in the slot of a chosen context that touch no known span."""
+    made = _mask(chosen, "context")
+    rows = spans.select("row", F.coalesce("text", F.lit("")).alias("text"), F.concat(*BASE_KINDS).alias("known"))
+    rows = rows.withColumn("mask", made[0].scalar() if made else F.lit(None).cast("array<bigint>"))
+    may = (lambda h, mask: _masked(h, mask, made[1])) if made else (lambda h, mask: F.lit(True))
+
+    def slots(c: Column) -> Column:
+        """Words that a context which may be chosen precedes, apart from those of known spans."""
+        hit = F.array_compact(F.transform(c, lambda h, i: F.when(may(h, F.col("mask")), i + 2)))
+        taken = F.flatten(F.transform("known", lambda s: F.sequence(s["first"], s["last"])))
+        return let(hit, lambda x: F.when(F.size(x) > 0, F.array_except(x, taken)).otherwise(x))
+
+    def cored(word: Column, context: Column) -> Column:
+        head = F.ltrim(word["value"], F.lit(MARKS))
+        core = F.rtrim(head, F.lit(MARKS))
+        start = word["start"] + F.length(word["value"]) - F.length(head)
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), context.alias("context"))
+
+    def found(c: Column) -> Column:
+        words = matches(F.col("text"), f"[^{WS}]++")
+        made = lambda places: let(words, lambda w: F.transform(places, lambda i: cored(F.get(w, i), F.get(c, i - 2))))
+        none = F.array().cast("array<struct<start:int,end:int,core:string,context:bigint>>")
+        return let(slots(c), lambda x: F.when(F.size(x) > 0, made(x)).otherwise(none))
+
+    each = rows.select("row", F.explode(let(_contexts(_lower_words(F.col("text"))), found)).alias("f")).select("row", "f.*")
+    return each.filter("core != ''").join(chosen.select("context"), "context", "left_semi").select(
+        "row", "start", "end", "core", "context"
+    )
+
+
+def discover(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """(row, start, end, value): unseen identifiers, by rounds over the graph of patterns and instances; None for none.
+
+    A pattern's score is the belief in what it precedes, over all that follows
+    it.  Seeds are certain.  Another instance is as likely as not all its
+    patterns are wrong, weighed by the share of its places in the corpus that
+    stand behind patterns, so that everyday words are no identifiers.
+    """
+    chosen, seeds = candidate_patterns(spans)
+    if chosen.isEmpty():
+        return None
+    fillers = persist_table(_fillers(spans, chosen).withColumn("value", F.xxhash64(F.lower("core"))), "pii-fillers")
+    if fillers.isEmpty():
+        return None
+    values = persist_table(fillers.groupBy("value").agg(F.count("*").alias("behind")), "pii-values")
+    words = spans.select(F.explode(_lower_words(F.coalesce("text", F.lit("")))).alias("w")).select(
+        F.xxhash64(F.rtrim(F.ltrim("w", F.lit(MARKS)), F.lit(MARKS))).alias("h")
     )
-    # The places of able contexts, at most BUCKETS numbers, thin out the corpus before it is
-    # counted; what other contexts share a place is counted too and joins with nothing.
-    places = [r[0] for r in able.select(F.pmod("context", F.lit(BUCKETS)).cast("int")).distinct().collect()]
-    followed = (
-        pairs.filter(F.pmod("context", F.lit(BUCKETS)).cast("int").isin(places)).groupBy("context").agg(F.count("*").alias("all"))
+    everywhere = _thinned(words, "h", values, "value").groupBy("h").agg(F.count("*").alias("everywhere"))
+    own = values.join(everywhere, values.value == everywhere.h).select(
+        "value", F.least(F.lit(1.0), F.col("behind") / F.col("everywhere")).alias("own")
     )
+    unseen = fillers.groupBy("context", "value").agg(F.count("*").alias("n")).join(own, "value")
     edges = persist_table(
-        edges.join(able, "context").join(followed, "context", "left").withColumn(
-            "all", F.greatest(F.coalesce("all", F.lit(0)), F.col("n"))
-        ),
+        seeds.select("context", "value", "n", F.lit(None).cast("double").alias("own")).unionByName(
+            unseen.select("context", "value", "n", "own")
+        ).join(chosen, "context"),
         "pii-graph",
     )
-    belief = edges.withColumn("p", F.col("seed").cast("double"))
-    score = None
+    belief = edges.withColumn("p", F.col("own").isNull().cast("double"))
     for _ in range(rounds):
-        # A pattern's score: the belief in what it precedes, over all that follows it.
-        score = belief.groupBy("context", "seeds", "all").agg((F.sum(F.col("n") * F.col("p"))).alias("mass")).select(
-            "context", "seeds", F.least(F.lit(1.0), F.col("mass") / F.col("all")).alias("score")
+        mass = belief.groupBy("context", "seeds", "all").agg(F.sum(F.col("n") * F.col("p")).alias("mass"))
+        score = mass.select("context", F.least(F.lit(1.0), F.col("mass") / F.col("all")).alias("score"))
+        wrong = F.exp(F.sum(F.ln(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
+        likely = edges.filter("own is not null").join(score, "context").groupBy("value", "own").agg(
+            (F.col("own") * (1 - wrong)).alias("q")
         )
-        # A belief: seeds are certain, others as likely as not all their patterns are wrong.
-        likely = edges.join(score.select("context", "score"), "context").groupBy("value").agg(
-            (1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("q")
+        belief = edges.join(likely.select("value", "q"), "value", "left").withColumn(
+            "p", F.when(F.col("own").isNull(), 1.0).otherwise(F.coalesce("q", F.lit(0.0)))
         )
-        belief = edges.join(likely, "value").withColumn("p", F.greatest(F.col("seed").cast("double"), F.col("q")))
-    return score
+    good = persist_table(score.filter(F.col("score") >= MIN_SCORE).select("context"), "pii-patterns")
+    sure = persist_table(likely.filter(F.col("q") >= MIN_BELIEF).select("value"), "pii-sure")
+    found = fillers.join(good, "context", "left_semi").join(sure, "value", "left_semi")
+    out = persist_table(found.select("row", "start", "end", F.col("core").alias("value")).distinct(), "pii-found")
+    for t in (fillers, values, edges, good, sure):
+        drop_table(t)
+    return out
 
 
 def find_pii(docs: DataFrame, keep_text: bool = True, carry: list[str] | None = None) -> DataFrame:
@@ -172,44 +274,41 @@ def find_pii(docs: DataFrame, keep_text: bool = True, carry: list[str] | None =
 
     carry: more columns of ``docs`` to return, as the struct ``carried``.
     Spans are struct<start, end, value> in code points, end exclusive; ``context``
-    spans are what the patterns discovered and touch no other span.  Null and
-    empty texts have none; a null doc_id stays; repeated rows are searched each;
-    an empty table gives no rows.
-
-    The texts are read twice: for spans and tokens, which are written as a narrow
-    table, and for the counts of contexts, summed before they are shuffled.
+    spans are the unseen identifiers of :func:`discover` and touch no other span.
+    A pattern is the two whole words, of any length, before the word in which a
+    known span begins (words end at ASCII white space and are compared in lower
+    case); instances are whatever stands in that place, without the MARKS around
+    it.  Null and empty texts have no spans; a null doc_id stays; repeated rows
+    are searched each; an empty table gives no rows.
+
+    Texts are worked through once for the spans, which are written beside them,
+    once to count what follows the contexts of seeds, and twice more only where
+    contexts pass.  Only hashes, summed in each task, and spans are shuffled.
     """
-    base = base_spans(docs, carry)
     own = [*(["text"] if keep_text else []), *(["carried"] if carry is not None else [])]
-    kinds = ["email", "ip", "card", "phone"]
-    tokens = F.transform("tokens", _trim)
-    touches = lambda t: F.exists(
-        F.concat(*kinds), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])
-    )
-    found = persist_table(
-        base.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", *own, *kinds,
-            F.transform(tokens, lambda t: t.withField("seed", touches(t).cast("int"))).alias("tokens"),
-        ),
-        "pii-spans",
-    )
-    each = found.filter(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t"))
-    marked = each.select("t.context", F.xxhash64("t.value").alias("value"), "t.seed")
-    good = patterns(marked, docs).filter(f"score >= {MIN_SCORE} and seeds >= {MIN_SEEDS}").select("context")
-    new = (
-        each.filter("t.seed = 0 and t.context is not null")
-        .select("row", "t", F.col("t.context").alias("context"))
-        .join(good, "context", "left_semi")
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(F.struct("t.start", "t.end", "t.value"))).alias("context"))
-    )
+    spans = known_spans(docs, carry)
+    new = discover(spans)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return found.join(new, "row", "left").select(
-        "doc_id", *own, *kinds, F.coalesce("context", none).alias("context")
+    bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).alias(k) for k in BASE_KINDS]
+    if new is None:
+        return spans.select("doc_id", *own, *bare, none.alias("context"))
+    listed = persist_table(
+        new.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("context")), "pii-listed"
+    )
+    return spans.join(listed, "row", "left").select("doc_id", *own, *bare, F.coalesce("context", none).alias("context"))
+
+
+def seed_counts(docs: DataFrame) -> DataFrame:
+    """(kind, spans, seeds): how many known spans of each kind there are, and how many of them two words precede."""
+    spans = known_spans(docs)
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("s")) for k in BASE_KINDS))
+    rows = spans.select(F.explode(each).alias("e")).select(
+        "e.kind", F.size("e.s").alias("n"), F.size(F.filter("e.s", lambda s: s["first"] >= 2)).alias("m")
     )
+    return rows.groupBy("kind").agg(F.sum("n").alias("spans"), F.sum("m").alias("seeds"))
 
 
-KINDS = ["email", "ip", "card", "phone", "context"]
+KINDS = [*BASE_KINDS, "context"]
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

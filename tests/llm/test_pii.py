@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 from loomstone.llm import pii
@@ -62,57 +64,99 @@ def test_base_against_brute_force(spark, sf):
         assert got == sorted(want)
 
 
-def contexts(text):
-    out = []
-    words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
-    for i, m in enumerate(words):
-        if sum(c.isdigit() for c in m[0]) >= 5:
-            core = re.sub("[^0-9A-Za-z]+$", "", re.sub("^[^0-9A-Za-z+]+", "", m[0]))
-            a = m.start() + m[0].index(core)
-            out.append((a, a + len(core), core, " ".join(w[0].lower() for w in words[i - 2 : i]) if i > 1 else None))
-    return out
-
-
-def brute_contexts(texts):
-    """Accepted contexts and new spans, with plain dicts."""
-    edges, seeds, follow, tokens = Counter(), {}, Counter(), []
+def brute_discover(texts):
+    """New spans by the method, with plain dicts."""
+    seeds, follow, everywhere, slots = Counter(), Counter(), Counter(), []
     for d, t in texts:
-        b = [s for v in base(t).values() for s in v]
-        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
-        follow.update(" ".join(w[i : i + 2]) for i in range(len(w) - 2))
-        for a, e, v, c in contexts(t):
-            seed = any(x < e and a < y for x, y in b)
-            tokens.append((d, a, e, v, c, seed))
-            if c:
-                edges[c, v] += 1
-                seeds[c, v] = seeds.get((c, v), False) or seed
-    able = {c for c, n in Counter(c for (c, v), s in seeds.items() if s).items() if n >= pii.MIN_SEEDS}
-    edges = {k: n for k, n in edges.items() if k[0] in able}
-    p = {k: float(seeds[k]) for k in edges}
-    score = {}
+        words = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        low = [w.lower() for _, w in words]
+        at = lambda p: max(i for i, (a, _) in enumerate(words) if a <= p)
+        spans = sorted((at(a), a, e) for v in base(t).values() for a, e in v)
+        taken = {i for f, a, e in spans for i in range(f, at(e - 1) + 1)}
+        for k, (f, a, e) in enumerate(spans):
+            if f >= 2 and (k == 0 or spans[k - 1][0] != f):
+                seeds[(low[f - 2], low[f - 1]), t[a:e]] += 1
+        everywhere.update(w.strip(pii.MARKS) for w in low)
+        for i in range(2, len(words)):
+            follow[low[i - 2], low[i - 1]] += 1
+            core = words[i][1].strip(pii.MARKS)
+            if i not in taken and core:
+                a = words[i][0] + len(words[i][1]) - len(words[i][1].lstrip(pii.MARKS))
+                slots.append((d, a, a + len(core), core.lower(), (low[i - 2], low[i - 1])))
+    distinct, filled = Counter(c for c, _ in seeds), Counter()
+    for (c, _), n in seeds.items():
+        filled[c] += n
+    chosen = {c for c, n in distinct.items() if n >= pii.MIN_SEEDS and filled[c] >= pii.MIN_SHARE * follow[c]}
+    slots = [s for s in slots if s[4] in chosen]
+    behind, edges = Counter(s[3] for s in slots), Counter((s[4], s[3]) for s in slots)
+    q, score = Counter(), {}
     for _ in range(pii.ROUNDS):
-        score = {c: min(1, sum(n * p[k] for k, n in edges.items() if k[0] == c) / follow[c]) for c in able}
+        score = {c: min(1.0, (filled[c] + sum(n * q[v] for (x, v), n in edges.items() if x == c)) / follow[c]) for c in chosen}
         wrong = {}
         for c, v in edges:
-            wrong[v] = wrong.get(v, 1) * max(1 - score[c], 1e-9)
-        p = {k: max(float(seeds[k]), 1 - wrong[k[1]]) for k in edges}
-    good = {c for c, s in score.items() if s >= pii.MIN_SCORE}
-    return {(d, a, e) for d, a, e, v, c, s in tokens if c in good and not s}
+            wrong[v] = wrong.get(v, 1.0) * max(1 - score[c], 1e-9)
+        q = Counter({v: min(1.0, behind[v] / everywhere[v]) * (1 - w) for v, w in wrong.items()})
+    return {s[:3] for s in slots if score[s[4]] >= pii.MIN_SCORE and q[s[3]] >= pii.MIN_BELIEF}
 
 
-def test_contexts_discover(spark):
-    texts = []
-    for i in range(40):
-        number = "4" + f"{i * 7919 + 10**14:014d}"
-        number += str(next(k for k in range(10) if luhn(number + str(k))))
-        texts.append((i, f"Please pay from account number {number}, thanks. The year was 2020{i:02d} indeed"))
-    texts += [(100 + i, f"to my Account  Number DE{i:06d}77! and of the 1234{i:03d}5 things") for i in range(4)]
-    texts += [(200 + i, f"ref code {i:07d} ref code words here") for i in range(9)]
+def card(i):
+    number = "4" + f"{i * 7919 + 10**14:014d}"
+    return number + str(next(k for k in range(10) if luhn(number + str(k))))
+
+
+def discovered(spark, texts):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
-    out = pii.find_pii(docs).collect()
-    got = {(r["doc_id"], s["start"], s["end"]) for r in out for s in r["context"]}
-    assert got == brute_contexts(texts)
-    assert {d for d, _, _ in got} == {100, 101, 102, 103}
+    out = pii.find_pii(docs)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    return {(r["doc_id"], s["start"], s["end"], s["value"]) for r in out.collect() for s in r["context"]}
+
+
+def test_seeds_of_each_kind_induce_patterns(spark):
+    long = "w" * 90
+    texts = []
+    for i in range(24):
+        texts += [
+            (i, f"Please pay from account number {card(i)}, thanks. The year was 2020{i:02d} indeed"),
+            (100 + i, f"You may WRITE To <user{i}@mail.org> at night"),
+            (200 + i, f"was seen from host 10.0.{i}.7 and left"),
+            (300 + i, f"then ring me on +1 (017) 555-77{i:02d} or not; {long} {long}x +49 30 1234{i:02d}9"),
+        ]
+    texts += [(1000 + i, f"to my Account  Number DE{i:06d}77! and of the 1234{i:03d}5 things") for i in range(4)]
+    texts += [(1010, "so write to jane_doe. The end of us"), (1011, "and write to us"), (1012, "from host fe80::17, gone")]
+    texts += [(1013, "kindly ring me on ext-417 or come to us"), (1014, f"{long} {long}X (blue-owl-7)"), (1015, None), (1016, "on")]
+    texts += [(2000 + i, f"ref code {i:07d} ref code words here us") for i in range(9)]
+    got = discovered(spark, texts)
+    assert {g[:3] for g in got} == brute_discover([(d, t or "") for d, t in texts])
+    assert {g[3] for g in got} == {*(f"DE{i:06d}77" for i in range(4)), "jane_doe", "fe80::17", "ext-417", "blue-owl-7"}
+
+
+def test_discovery_against_brute_force_on_random_texts(spark):
+    rng = random.Random(8)
+    for turn in range(2):
+        texts = []
+        for i in range(120):
+            words = []
+            for _ in range(rng.randrange(25)):
+                words.append(rng.choice(["to", "Mail", "call", "id:", "nr", "(see", "zz7", "ab-9!", f"n{rng.randrange(50)}"]))
+                if rng.random() < 0.3:
+                    seed = rng.choice([card(rng.randrange(30)), f"u{rng.randrange(30)}@b.org;x@y.z", f"1.2.3.{rng.randrange(40)}", f"+49 30 5555{rng.randrange(9)}"])
+                    words += [*rng.choice([("call", "nr"), ("Mail", "to"), ("id:", "zz7")]), seed]
+            texts.append((i, rng.choice([" ", "  ", " \n"]).join(words)))
+        assert {g[:3] for g in discovered(spark, texts)} == brute_discover(texts), turn
+
+
+def test_seed_counts(spark):
+    docs = spark.createDataFrame([(1, "write me to a@b.c or a@b.c"), (2, "a@b.c"), (3, None)], "doc_id bigint, text string")
+    got = {r["kind"]: (r["spans"], r["seeds"]) for r in pii.seed_counts(docs).collect()}
+    assert got == {"email": (3, 2), "ip": (0, 0), "card": (0, 0), "phone": (0, 0)}
+
+
+def test_long_texts_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, "12345 " * 40000 + "a@b.c " * 20000)], "doc_id bigint, text string").coalesce(1)
+    pii.pii_digest(docs.limit(0)).collect()
+    start = time.time()
+    assert pii.pii_digest(docs).first()["n_email"] == 20000
+    assert time.time() - start < 60
 
 
 def test_redaction_and_empty(spark):
