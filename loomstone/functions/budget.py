@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomstone.functions.markdown import blocks, within_budget
+from loomstone.functions.passages import blocks, within_budget
 from loomstone.functions.retrieval import _STOP, B, K1, fold_text, query_terms
 
 RESULT = "struct<text:string,omitted:bigint,selection:string>"

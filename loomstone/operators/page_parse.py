@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomstone.functions.facts import base_url, facts
-from loomstone.functions.html_tree import Page, Tree
-from loomstone.functions.markdown import chunks, outline, render
+from loomstone.functions.content import Page
+from loomstone.functions.html_tree import Tree
+from loomstone.functions.markdown import render
+from loomstone.functions.passages import chunks, outline
 
 #: Output name -> its column type.
 FORMATS = {

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from loomstone.functions import css, jsons
-from loomstone.functions.markdown import outline, page_markdown, section
+from loomstone.functions.markdown import page_markdown
+from loomstone.functions.passages import outline, section
 from loomstone.functions.urls import is_secret  # noqa: F401
 from loomstone.operators.page_parse import parse_pages
 from loomstone.plans.registry import query

@@ -2,8 +2,10 @@ import time
 
 import pytest
 from loomstone.functions import errors, facts, pages, urls
-from loomstone.functions.html_tree import Page, Tree
-from loomstone.functions.markdown import chunks, cite, outline, page_markdown, section, tokens, within_budget
+from loomstone.functions.content import Page
+from loomstone.functions.html_tree import Tree
+from loomstone.functions.markdown import page_markdown
+from loomstone.functions.passages import chunks, cite, outline, section, tokens, within_budget
 from loomstone.operators.page_parse import parse_pages
 from pyspark.sql import functions as F
 
