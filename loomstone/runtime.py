@@ -19,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset (tests,
-    one machine), a temporary folder of this process is used and remembered in
-    the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset on one
+    machine (master ``local``), a temporary folder of this process is used and
+    remembered in the session; elsewhere that is an error, since executors would
+    write to disks that the others cannot read.
     """
-    named = spark.conf.get(SHARED_DIR, None)
-    if not named:
-        named = spark.conf.get("loomstone.scratch.dir", None)
+    named = spark.conf.get(SHARED_DIR, None) or spark.conf.get("loomstone.scratch.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError(f"{SHARED_DIR} must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomstone-")
         spark.conf.set("loomstone.scratch.dir", named)
     return named.rstrip("/")
