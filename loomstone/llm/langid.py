@@ -7,6 +7,7 @@ scored, and a text's probabilities are the mean over its windows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ FILTERS, EMBED = 24, 8
 FIT_TEXTS = 600
 #: ... and on this many windows of each text, spread evenly over it.
 FIT_WINDOWS = 3
+#: It knows the most frequent languages, so many at most.
+FIT_LANGUAGES = 256
 EPOCHS = 6
 
 
@@ -114,19 +117,23 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of all rows (n x size bytes, zeros behind the end) and the row of each.
+def cut(data: np.ndarray, offsets: np.ndarray, size: int = WINDOW, at_once: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of all rows (n x size bytes, zeros behind the end) and the row of each, ``at_once`` windows at a time.
 
     Windows of a row overlap by the widest filter less one, so no n-gram is lost.
+    Only the windows at hand are copied, so a text of any length takes little more than itself.
     """
     stride = size - max(WIDTHS) + 1
     length = np.diff(offsets)
     count = np.where(length > 0, 1 + np.maximum(0, -(-(length - size) // stride)), 0)
-    row = np.repeat(np.arange(len(length)), count)
-    place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * stride
-    at = (offsets[row] + place)[:, None] + np.arange(size)
-    inside = at < offsets[row + 1][:, None]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 0).astype(np.uint8), row
+    ends = np.cumsum(count)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, at_once):
+        window = np.arange(low, min(low + at_once, int(ends[-1])))
+        row = np.searchsorted(ends, window, side="right")
+        first = offsets[row] + (window - (ends - count)[row]) * stride
+        at = first[:, None] + np.arange(size)
+        inside = at < offsets[row + 1][:, None]
+        yield np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8), row
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,19 +142,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, per_language: int = FIT_TEXTS) -> list[tuple[str, list[str]]]:
-    """(language, windows) of a bounded sample of the texts that may be learnt from."""
+    """(language, windows) of a bounded sample of the texts that may be learnt from.
+
+    Texts are counted by language first.  From the counts follows a bound on the
+    hash of the id below which about twice the wanted number lie, so tasks send
+    so many rows and no more, whatever the size of the corpus; repeated rows count once.
+    """
     rows = pick(docs, "doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null")
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    from pyspark.sql import Window
-
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    if not counts:
+        return []
+    hashed = F.xxhash64("doc_id", "text")
+    bounds = [(r["lang"], min(1.0, 2 * (per_language + 50) / r["count"])) for r in counts]
+    share = F.create_map(*(F.lit(x) for pair in bounds for x in pair))
+    unit = F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
     gap = F.greatest(F.lit(0), F.length("text") - WINDOW) / max(1, FIT_WINDOWS - 1)
     parts = F.array(*(F.substring("text", 1 + F.floor(gap * i).cast("int"), F.lit(WINDOW)) for i in range(FIT_WINDOWS)))
-    # Windows, not texts, go through the shuffle.
-    rows = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.array_distinct(parts).alias("parts"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "parts")
-    chosen = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    got = chosen.select("lang", "parts", "h", "doc_id").collect()
-    return [(r["lang"], r["parts"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["parts"]))]
+    near = rows.filter(unit < F.try_element_at(share, F.col("lang")))
+    got = near.select("lang", "doc_id", hashed.alias("h"), F.array_distinct(parts).alias("parts")).distinct().collect()
+    order = sorted(got, key=lambda r: (r["h"], r["doc_id"], r["parts"]))
+    taken: Counter[str] = Counter()
+    out = []
+    for r in order:
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= per_language:
+            out.append((r["lang"], r["parts"]))
+    return out
 
 
 def train(docs: DataFrame, per_language: int = FIT_TEXTS) -> Network | None:
@@ -174,10 +195,9 @@ def _predict(shared, batch_windows: int = 256):
                 names = np.full(n, "und", dtype=object)
                 score = np.zeros(n)
                 if net is not None:
-                    windows, row = cut(*column_bytes(batch.column(1)))
                     total = np.zeros((n, len(net.languages)))
-                    for a in range(0, len(windows), batch_windows):
-                        np.add.at(total, row[a : a + batch_windows], net.probabilities(windows[a : a + batch_windows]))
+                    for windows, row in cut(*column_bytes(batch.column(1)), at_once=batch_windows):
+                        np.add.at(total, row, net.probabilities(windows))
                     letters = np.array(batch.column(2).to_pylist(), dtype=bool) & (total.sum(axis=1) > 0)
                     best = total.argmax(axis=1)
                     names[letters] = np.array(net.languages, dtype=object)[best[letters]]

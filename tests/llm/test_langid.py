@@ -23,7 +23,9 @@ def remainder(d):
 def test_windows_cover_every_byte():
     texts = ["", None, "a" * 5, "b" * 192, "c" * 193, "d" * 1000, "é" * 400]
     data, offsets = column_bytes(pa.array(texts))
-    windows, row = L.cut(data, offsets)
+    got = list(L.cut(data, offsets, at_once=4))
+    assert all(len(w) <= 4 for w, _ in got)
+    windows, row = (np.concatenate(x) for x in zip(*got, strict=True))
     step = L.WINDOW - max(L.WIDTHS) + 1
     for i, t in enumerate(texts):
         raw = (t or "").encode()
@@ -66,6 +68,21 @@ def test_identify(spark):
     assert all(by[d]["held_out"] == (remainder(d) == 1) and 0 <= by[d]["score"] <= 1 for d, *_ in rows)
 
 
+def test_a_bounded_sample_is_learnt_from(spark):
+    docs = spark.range(9000).selectExpr("id doc_id", "concat('ka lo ', id) text", "if(id % 30 = 0, 'bb', 'aa') lang")
+    docs = docs.unionByName(spark.range(5000).selectExpr("7L doc_id", "'ka lo 7' text", "'aa' lang"))
+    got = [lang for lang, _ in L.training_windows(docs.repartition(5), 100)]
+    assert sorted(got) == ["aa"] * 100 + ["bb"] * 100
+    assert L.training_windows(docs.repartition(2), 100) == L.training_windows(docs, 100)
+
+
+def test_long_texts(spark):
+    docs = spark.createDataFrame([(1, "ka lo mi " * 700_000, None)], "doc_id bigint, text string, lang string")
+    rng = random.Random(2)
+    net = L.train(spark.createDataFrame([(i, text(rng, lang, 60), lang) for i in range(60) for lang in SYLLABLES], "doc_id bigint, text string, lang string"))
+    assert L.identify(docs, net).first()["lang_pred"] == "aa"
+
+
 def test_learns_from_the_permitted_rows_only(spark):
     docs = spark.createDataFrame([(i, "ka lo", "aa" if remainder(i) != 1 else "zz") for i in range(30)], "doc_id bigint, text string, lang string")
     assert {lang for lang, _ in L.training_windows(docs)} == {"aa"}
