@@ -15,7 +15,7 @@ Texts with equal sets are one node throughout, so thousands of copies cost one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -139,11 +139,30 @@ def _block_links(percent: int):
     return run
 
 
-def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, i, j, node, component, role): the blocks of buckets that hold several components."""
+def _by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Buckets cut by set size, as new buckets in which every pair that can be linked still meets.
+
+    Sizes of linked sets differ by 100 / percent at most.  Powers of a ratio just
+    above it bound the classes, so such a pair lies in one class or in two
+    neighbours; every member stands in the bucket of its class and of the one below.
+    """
+    level = F.floor(F.ln(F.col("n_shingles").cast("double")) / F.ln(F.lit(1.001 * 100 / percent)))
+    return members.select(
+        F.explode(F.array(level, level - 1)).alias("level"), "bucket", "node", "component"
+    ).select(F.xxhash64("bucket", "level").alias("bucket"), "node", "component")
+
+
+def _unresolved(members: DataFrame, labels: DataFrame, percent: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(bucket, i, j, node, component, role): the blocks of buckets that hold several components.
+
+    keep: writes a table.  Aggregates are written before rows are joined with
+    them, so that a bucket with many members is no single task's.
+    """
     named = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component")
     )
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    named = keep(_by_size(named.join(keep(mixed.select("bucket"), "mixed"), "bucket", "left_semi"), percent), "by-size")
     size = named.groupBy("bucket").agg(
         F.count("*").alias("m"),
         F.min("component").alias("low"),
@@ -153,10 +172,11 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
     # Two members were compared by the star; bands with the same members need one comparison.
     open_ = size.filter("low < high and m > 2").groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"))
-    rows = named.join(open_.select("bucket", "m"), "bucket")
-    largest = (
+    rows = keep(named.join(keep(open_.select("bucket", "m"), "open"), "bucket"), "open-rows")
+    largest = keep(
         rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        .groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("top"))
+        .groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("top")),
+        "largest",
     )
     rows = rows.join(largest, "bucket").select(
         "bucket", "node", "component", "m",
@@ -211,11 +231,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         ),
         "named",
     )
-    buckets = named.filter("doc_id = node").select("node", F.explode("bands").alias("bucket"))
+    buckets = named.filter("doc_id = node").select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    scratch: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(persist_table(df, name))
+        return scratch[-1]
+
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    members = persist_table(buckets.join(hubs.select("bucket", "hub"), "bucket"), "members")
+    members = keep(buckets.join(keep(hubs.select("bucket", "hub"), "hubs"), "bucket"), "members")
     active = members.select("node").distinct()
-    texts = persist_table(
+    texts = keep(
         rows.filter("doc_id is not null").join(active, rows.doc_id == active.node).select("node", "text"), "texts"
     )
     pairs = members.filter("node != hub").select("hub", "node").distinct()
@@ -226,18 +252,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select("hub", "node", "hub_text", "member_text")
         .mapInArrow(_verifier(percent), "u bigint, v bigint")
     )
-    links = persist_table(found, "links")
+    links = keep(found, "links")
     labels = components(links)
-    blocks = _unresolved(members.select("bucket", "node").distinct(), labels)
-    more = persist_table(
+    blocks = _unresolved(members.select("bucket", "node", "n_shingles").distinct(), labels, percent, keep)
+    more = keep(
         blocks.join(texts, "node")
         .groupBy("bucket", "i", "j")
         .applyInPandas(_block_links(percent), "u bigint, v bigint"),
         "more-links",
     )
     if not more.isEmpty():
+        scratch.append(labels)
         labels = components(links.unionByName(more))
-    for t in (members, texts):
+    for t in scratch:
         drop_table(t)
     linked = named.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")
