@@ -2,14 +2,13 @@
 
 Fixed rules reject texts that are too short or mostly repeat themselves.  The
 other rules are cutoffs on features, chosen from labelled documents so that
-good documents are rarely lost: for each stratum and feature a cutoff may be
-used only if its rejection of good documents is, with high confidence, at most a
-stated share.  The confidence is an exact binomial bound.  The cutoffs of one
-feature are tested from the loosest on, up to the first that fails (a fixed
-sequence needs no further correction), and features share the error by
-Bonferroni's rule, so the guarantee holds for the choice as a whole.  Of the
-safe cutoffs that one is used which gains most: poor documents rejected, less
-ten for each good one.
+good documents are rarely lost.  A third of the labels proposes: for each
+stratum, the cutoff of each feature that gains most (poor documents rejected,
+less ten for each good one), the most useful feature first.  The other two
+thirds decide: the rule that rejects by the first cutoff, then by the first two,
+and so on, is tested against the risk of losing good documents with an exact
+binomial bound, up to the first that fails.  Such a fixed sequence needs no
+further correction within a stratum; strata share the error by Bonferroni's rule.
 """
 
 from __future__ import annotations
@@ -26,9 +25,10 @@ from loomstone.runtime import persist_table
 SYMBOLS = "#*$%&|<>"
 #: The features that have a cutoff; each is a share of the text that is high in poor texts.
 FEATURES = ["symbol_share", "upper_share", "dup_line_share", "mark_share"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Cutoffs tried for each feature (a fixed grid: rejected is what lies above).
 GRID = [0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-#: A stratum may lose at most RISK of its good documents, with probability 1 - DELTA.
+#: No stratum loses more than RISK of its good documents, all strata together with probability 1 - DELTA.
 RISK, DELTA = 0.03, 0.05
 #: Good documents weigh this much in the choice among safe cutoffs.
 PRICE = 10
@@ -84,6 +84,7 @@ def _facts(text: Column) -> Column:
             _repeated(words).cast("bigint").alias("n_repeat_words"),
             without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
             without("!?=_~^").alias("n_marks"),
+            F.xxhash64(text).alias("digest"),
         )
 
     def shares(f: Column) -> Column:
@@ -97,13 +98,14 @@ def _facts(text: Column) -> Column:
             share(f["n_upper"], f["word_chars"]).alias("upper_share"),
             share(f["lines"]["again"], f["lines"]["all"]).alias("dup_line_share"),
             share(f["n_marks"], f["word_chars"]).alias("mark_share"),
+            f["digest"].alias("digest"),
         )
 
     return let(let(_words(text), counts), shares)
 
 
 def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, counts and shares of every whole text; null text has none, a null stratum is ''."""
+    """doc_id, stratum, counts, shares and digest of every whole text; null text is empty, a null stratum is ''."""
     rows = pick(docs, "doc_id", "text", stratum)
     facts = _facts(F.coalesce("text", F.lit("")))
     return rows.select("doc_id", F.coalesce(stratum, F.lit("")).alias("stratum"), facts.alias("f")).select("doc_id", "stratum", "f.*")
@@ -137,36 +139,70 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, 1.0).otherwise(F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(top) * total)))
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, feature, cutoff): the best safe cutoff of each; no row where none is safe or gains.
+def labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, quality, the FEATURES and ``proposes`` of the labelled documents that pass the fixed rules.
 
-    measured: from :func:`features`.  labels: doc_id, quality (1 good, 0 poor).
-    Only labelled documents that pass the fixed rules count.  Each feature may
-    lose risk / len(FEATURES) of the good ones, so that all together lose at
-    most ``risk``; each is tested at delta / len(FEATURES).  A stricter cutoff
-    rejects no fewer, so p-values only rise along the sequence, and the safe
-    cutoffs are those before its first failure.  Only counts leave the tasks: strata x features x cutoffs rows.
+    Equal texts of a stratum count once, since the bounds are for independent
+    draws; near copies do not, so labels should be deduplicated where they abound.
+    A hash of the text says which third a row is in.
     """
-    known = pick(labels, "doc_id", "quality", types={"quality": "int"}).filter("doc_id is not null and quality is not null").distinct()
-    rows = measured.filter(~F.col("base_failed")).join(known, "doc_id")
-    tall = rows.select(
+    known = pick(labels, "doc_id", "quality", types={"quality": "int"}).filter("doc_id is not null and quality in (0, 1)").distinct()
+    rows = measured.filter(~F.col("base_failed")).join(known, "doc_id").select("stratum", "quality", "digest", *FEATURES).distinct()
+    return rows.select("stratum", "quality", *FEATURES, (F.pmod("digest", F.lit(3)) == 0).alias("proposes"))
+
+
+def proposals(rows: DataFrame) -> DataFrame:
+    """(stratum, steps): the best cutoff of each feature that gains, array<struct<loss, feature, cutoff>>, the best first."""
+    tall = rows.filter("proposes").select(
         "stratum", "quality",
         F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FEATURES))).alias("f"),
-    ).select("stratum", "quality", "f.feature", "f.x")
-    counted = tall.select(
-        "stratum", "feature", "quality", F.explode(F.array(*(F.struct(F.lit(c).alias("cutoff"), (F.col("x") > c).cast("int").alias("out")) for c in GRID))).alias("g")
-    ).groupBy("stratum", "feature", F.col("g.cutoff").alias("cutoff")).agg(
-        F.count_if(F.col("quality") == 1).alias("good"),
-        F.sum(F.when(F.col("quality") == 1, F.col("g.out")).otherwise(0)).alias("good_out"),
-        F.sum(F.when(F.col("quality") == 0, F.col("g.out")).otherwise(0)).alias("poor_out"),
+    ).select(
+        "stratum", "f.feature",
+        F.when(F.col("quality") == 1, -PRICE).otherwise(1).alias("worth"),
+        F.explode(F.array(*(F.struct(F.lit(c).alias("cutoff"), (F.col("f.x") > c).cast("int").alias("out")) for c in GRID))).alias("g"),
+    )
+    gains = tall.groupBy("stratum", "feature", F.col("g.cutoff").alias("cutoff")).agg(
+        F.sum(F.col("worth") * F.col("g.out")).alias("gain")
+    )
+    best = gains.filter("gain > 0").groupBy("stratum", "feature").agg(
+        F.max("gain").alias("gain"), F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff")
+    )
+    step = F.struct((-F.col("gain")).alias("loss"), "feature", "cutoff")
+    return best.groupBy("stratum").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, feature, cutoff, good, good_out, p): the safe cutoffs; no row where none is safe or gains.
+
+    measured: from :func:`features`.  labels: doc_id, quality (1 good, 0 poor).
+    good: good documents that decided; good_out: those lost by this cutoff and
+    the stratum's better ones together; p: the chance of so few were the loss above
+    ``risk``.  Only counts leave the tasks: strata x features x cutoffs rows.
+    """
+    rows = persist_table(labelled(measured, labels), "quality-labelled")
+    steps = persist_table(proposals(rows), "quality-steps")
+    strata = max(1, steps.count())
+    value = F.create_map(*(x for f in FEATURES for x in (F.lit(f), F.col(f))))
+    hits = F.transform("steps", lambda s: F.try_element_at(value, s["feature"]) > s["cutoff"])
+    lost = rows.filter("not proposes and quality = 1").join(steps, "stratum").select(
+        "stratum", F.array_position(hits, True).alias("first")
+    )
+    outs = [F.count_if(F.col("first").between(1, k)) for k in range(1, len(FEATURES) + 1)]
+    counts = lost.groupBy("stratum").agg(F.count("*").alias("good"), F.array(*outs).alias("outs"))
+    tested = steps.join(counts, "stratum").select(
+        "stratum", "good",
+        F.transform(
+            "steps",
+            lambda s, k: F.struct(
+                s["feature"].alias("feature"), s["cutoff"].alias("cutoff"), F.get("outs", k).alias("good_out"),
+                binomial_tail(F.get("outs", k), F.col("good"), risk).alias("p"),
+            ),
+        ).alias("tests"),
     )
-    share = risk / len(FEATURES)
-    safe = counted.filter("good > 0").withColumn(
-        "p", binomial_tail(F.col("good_out"), F.col("good"), share)
-    ).filter(F.col("p") <= delta / len(FEATURES))
-    gain = F.col("poor_out") - PRICE * F.col("good_out")
-    return safe.filter(gain > 0).groupBy("stratum", "feature").agg(
-        F.max_by("cutoff", F.struct(gain.alias("gain"), "cutoff")).alias("cutoff")
+    failed = F.array_position(F.transform("tests", lambda t: t["p"] > delta / strata), True)
+    safe = F.when(failed > 0, F.slice("tests", F.lit(1), (failed - 1).cast("int"))).otherwise(F.col("tests"))
+    return tested.select("stratum", "good", F.explode(safe).alias("t")).select(
+        "stratum", "t.feature", "t.cutoff", "good", "t.good_out", "t.p"
     )
 
 
@@ -180,7 +216,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang")
     repeated rows are judged each; an empty table gives no rows.
     """
     measured = persist_table(features(docs, stratum), "quality-features")
-    judged = measured.join(_cuts(thresholds(measured, labels)), "stratum", "left")
+    # Written, so that its small size is known and the join needs no shuffle of a hot stratum.
+    judged = measured.join(persist_table(_cuts(thresholds(measured, labels)), "quality-cuts"), "stratum", "left")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         _reasons(lambda f: F.col(f)).alias("reasons"),
@@ -204,19 +241,25 @@ def _reasons(value, cuts: str = "cuts") -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that :func:`quality_verdicts` keeps, with all their columns.
 
-    The verdict is worked out beside each row, so nothing is joined back; the
-    cutoffs are few and come by their stratum.
+    The counts are worked out once and written beside each row, so nothing is
+    joined back but the cutoffs of a stratum.  Rows without doc_id or with a
+    repeated one are judged each; an empty table gives no rows.
     """
     mine = "loomstone_quality"
-    # Written, since a filter on one feature and the use of another would work the text through twice.
-    measured = persist_table(features(docs, stratum), "quality-features")
-    cut = persist_table(_cuts(thresholds(measured, labels)), "quality-cuts")
-    cut = cut.select(F.col("stratum").alias(f"{mine}_stratum"), F.col("cuts").alias(f"{mine}_cuts"))
-    has = stratum.lower() in {c.lower() for c in docs.columns}
-    own = F.col(f"`{stratum}`").cast("string") if has else F.lit(None).cast("string")
-    judged = docs.withColumn(f"{mine}_stratum", F.coalesce(own, F.lit(""))).join(cut, f"{mine}_stratum", "left")
-    # One expression from text to verdict: fields of a struct column would be worked out one by one.
-    good = let(
-        _facts(F.coalesce("text", F.lit(""))), lambda f: F.size(_reasons(lambda n: f[n], f"{mine}_cuts")) == 0
+    while mine in docs.columns:
+        mine += "_"
+    has = {c.lower() for c in docs.columns}
+    own = lambda name, kind: (F.col(f"`{name}`") if name.lower() in has else F.lit(None)).cast(kind)
+    facts = let(
+        _facts(F.coalesce(own("text", "string"), F.lit(""))),
+        lambda f: F.struct(
+            own("doc_id", "bigint").alias("doc_id"), F.coalesce(own(stratum, "string"), F.lit("")).alias("stratum"),
+            *(f[n].alias(n) for n in [*COUNTS, "base_failed", *FEATURES, "digest"]),
+        ),
     )
+    measured = persist_table(docs.withColumn(mine, facts), "quality-measured")
+    cuts = persist_table(_cuts(thresholds(measured.select(f"{mine}.*"), labels)), "quality-cuts")
+    cuts = cuts.select(F.col("stratum").alias(f"{mine}_stratum"), F.col("cuts").alias(f"{mine}_cuts"))
+    judged = measured.join(cuts, F.col(f"{mine}.stratum") == F.col(f"{mine}_stratum"), "left")
+    good = F.size(_reasons(lambda n: F.col(f"{mine}.{n}"), f"{mine}_cuts")) == 0
     return judged.filter(good).select(*(F.col(f"`{c}`") for c in docs.columns))
