@@ -11,33 +11,42 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import decontaminate, neardup, packing, pii, quality
 from loomstone.llm.queries import tokenizer_path
-from loomstone.runtime import persist_table, table
+from loomstone.runtime import drop_table, persist_table, table
 
 #: A verdict of the labelled holdouts, and the power-of-two packing, are not for SQL.
 ORACLE_SQL: str | None = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts do not, repeated rows are judged each."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of rows that share a doc_id one, and all that have none."""
-    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates: that with the smallest doc_id, null last; of equal ones the first written.
+
+    Rows are numbered and compared by number, so rows that share a doc_id or
+    have none are judged each: differing texts stay, equal and near ones leave
+    one.  Null, empty and blank texts are near nothing.
+    """
+    number = "loomstone_row"
+    while number in docs.columns:
+        number += "_"
+    rows = persist_table(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    groups = neardup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).select("doc_id", "component_id")
+    named = groups.join(rows.select(F.col(number).alias("row"), F.col("doc_id").alias("id")), F.col("doc_id") == F.col("row"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = persist_table(named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias(number)), "kept")
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text; null texts stay null."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     found = pii.find_pii(docs, carry=others)
     text = pii.redacted(F.col("text"), [(k, F.col(k)) for k in pii.KINDS])
@@ -48,7 +57,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The power-of-two pieces of all documents."""
+    """The power-of-two pieces of all documents, repeated rows each; null texts hold the end id alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -65,7 +74,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = persist_table(docs, f"stage-{name}")
+            out = persist_table(out, f"stage-{name}")
+            if k:
+                drop_table(docs)
+        docs = out
     return docs
