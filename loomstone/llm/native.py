@@ -119,6 +119,42 @@ def matches(
     return F.when(gate, found).otherwise(F.array().cast(kind))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with its spans, array<struct<start, end, mark>>, replaced by their marks.
+
+    Spans that overlap are taken out as one, with the mark of the first.  The
+    text is cut into runs of pieces before it is cut into pieces, since each cut
+    counts characters from the start of what it cuts.
+    """
+    piece = lambda a, b, mark: F.struct(a.alias("from"), b.alias("to"), mark.alias("mark"))
+    kind = "array<struct<from:int,to:int,mark:string>>"
+
+    def pieces(order: Column) -> Column:
+        before = scan(
+            order,
+            F.lit(0),
+            lambda at, s: F.greatest(at, s["end"]),
+            lambda at, s: F.when(s["start"] >= at, piece(at, s["start"], s["mark"])),
+            kind,
+        )
+        rest = piece(F.array_max(F.transform(order, lambda s: s["end"])), F.length(text), F.lit(""))
+        return F.concat(before, F.array(rest).cast(kind))
+
+    def run(ps: Column, k: Column) -> Column:
+        mine = F.transform(F.sequence(k * RUN, F.least((k + 1) * RUN, F.size(ps)) - 1), lambda i: F.get(ps, i))
+        low, high = F.get(ps, k * RUN)["from"], F.get(ps, F.least((k + 1) * RUN, F.size(ps)) - 1)["to"]
+        cut = lambda part: F.transform(
+            mine, lambda p: F.concat(F.substring(part, p["from"] - low + 1, p["to"] - p["from"]), p["mark"])
+        )
+        return F.array_join(let(F.substring(text, low + 1, high - low), cut), "")
+
+    def whole(ps: Column) -> Column:
+        count = F.ceil(F.size(ps) / RUN).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda k: run(ps, k)), "")
+
+    return F.when(F.size(spans) > 0, let(let(F.array_sort(spans), pieces), whole)).otherwise(text)
+
+
 def joined(kinds: list[tuple[str, Column]], by_start: bool) -> Column:
     """kind:start:end of all spans, comma-joined: by start then kind as listed, or by kind then start."""
 

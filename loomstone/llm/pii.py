@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.columns import pick
-from loomstone.llm.native import WS, joined, let, matches
+from loomstone.llm.native import WS, joined, let, matches, replaced
 from loomstone.runtime import drop_table, persist_table
 
 # The known shapes.  Possessive forms match what the plain ones do
@@ -329,17 +329,4 @@ def redacted(text: Column, spans: list[tuple[str, Column]]) -> Column:
     def named(kind: str):
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark"))
 
-    order = F.array_sort(F.concat(*(F.transform(c, named(k)) for k, c in spans)))
-    fold = F.aggregate(
-        order,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["mark"]).alias("out"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(order) > 0, fold).otherwise(text)
+    return replaced(text, F.concat(*(F.transform(c, named(k)) for k, c in spans)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.columns import pick
-from loomstone.llm.native import joined, let, matches
+from loomstone.llm.native import joined, let, matches, replaced
 
 # The known shapes.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -144,17 +144,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """doc_id and text with every span replaced by ``mark``; overlapping spans are replaced once."""
     found = find_secrets(docs)
-    spans = F.array_sort(F.transform(F.concat("assign", "access", "hex", "entropy"), lambda s: F.struct(s["start"], s["end"])))
-    fold = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-        lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))),
+    spans = F.transform(
+        F.concat("assign", "access", "hex", "entropy"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark"))
     )
-    return found.select("doc_id", F.when(F.size(spans) > 0, fold).otherwise(F.col("text")).alias("text"))
+    return found.select("doc_id", replaced(F.col("text"), spans).alias("text"))

@@ -166,3 +166,11 @@ def test_redaction_and_empty(spark):
     assert by[1] == "mail [EMAIL], x@y and [EMAIL][EMAIL]! 😀 é[EMAIL]." and by[3] == ""
     assert by[4].startswith("card [CARD] [CARD]") or by[4].startswith("card ")
     assert pii.pii_digest(docs.limit(0)).count() == 0
+
+
+def test_long_redaction(spark):
+    rng = random.Random(4)
+    words = [rng.choice(["a@b.c", "x", "😀", "1.2.3.4,a@b.c"]) for _ in range(5000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    out = pii.find_pii(docs).select(pii.redacted(F.col("text"), [(k, F.col(k)) for k in pii.KINDS])).first()[0]
+    assert out == " ".join(words).replace("a@b.c", "[EMAIL]").replace("1.2.3.4", "[IP]")
