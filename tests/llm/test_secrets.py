@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 from loomstone.llm import secret_scan as s
@@ -30,28 +32,35 @@ def spans(text):
     return sorted(out)
 
 
+def kind(c):
+    return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
+
+
+def window_class(x):
+    bits = -sum(c / len(x) * math.log2(c / len(x)) for c in Counter(x).values())
+    n = Counter(map(kind, x))
+    changes = sum(kind(a) != kind(b) for a, b in zip(x, x[1:]))
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x):
+        return "hex" if bits >= s.HEX_BITS and min(n[0], len(x) - n[0]) >= s.HEX_EACH else None
+    for name, c in s.CLASSES.items():
+        if {"lower": n[1], "upper": n[2], "letters": n[0]}.get(name, 0):
+            continue
+        if bits >= c.bits and n[0] >= c.figures and n[1] >= c.uppers and n[2] >= c.lowers and changes >= c.changes and n[3] <= c.marks:
+            return name
+    return None
+
+
 def windows(v, w=s.WINDOW):
-    best = {"hex": 0.0, "mixed": 0.0}
-    for i in range(len(v) - w + 1):
-        x = v[i : i + w]
-        bits = -sum(c / w * math.log2(c / w) for c in Counter(x).values())
-        letters = sum(c.isalpha() for c in x)
-        figures = sum(c.isdigit() for c in x)
-        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) and figures >= 3 and letters >= 3:
-            best["hex"] = max(best["hex"], bits)
-        if figures and re.search("[a-z]", x) and re.search("[A-Z]", x):
-            best["mixed"] = max(best["mixed"], bits)
-    return best
+    return next((k for i in range(len(v) - w + 1) if (k := window_class(v[i : i + w]))), None)
 
 
 def brute(text):
     base = spans(text)
     extra = []
     for m in re.finditer(s.CANDIDATE, text or ""):
-        if any(re.fullmatch(p, m[0], re.I) for p in s.ALLOWED) or not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
+        if any(re.fullmatch(p, m[0], re.I) for p in s.ALLOWED):
             continue
-        b = windows(m[0])
-        if (b["hex"] >= s.HEX_BITS or b["mixed"] >= s.MIXED_BITS) and not any(a < m.end() and m.start() < c for a, _, c, _ in base):
+        if windows(m[0]) and not any(a < m.end() and m.start() < c for a, _, c, _ in base):
             extra.append((m.start(), 3, m.end(), "entropy"))
     show = lambda rows: ",".join(f"{k}:{a}:{b}" for a, _, b, k in rows)
     n = Counter(k for *_, k in base)
@@ -80,12 +89,49 @@ def test_on_documents(spark, sf):
     check(s.secret_digest(docs), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_window_entropy(spark):
+def classes(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", s.entropy_class(F.col("v")).alias("c")).collect()
+    return {r["v"]: r["c"] for r in rows}
+
+
+def test_classes_against_brute_force(spark):
+    rng = random.Random(2)
     values = [HEXKEY, "Wq8Zk3LmT0xYv5Rb7NcUd2", "aA1" * 10, "short", "0" * 30 + "aB", ""]
-    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", s.window_entropy(F.col("v")).alias("e")).collect()
-    for r in rows:
-        want = windows(r["v"])
-        assert abs(r["e"]["hex"] - want["hex"]) < 1e-9 and abs(r["e"]["mixed"] - want["mixed"]) < 1e-9, r
+    values += ["".join(rng.choice(a) for _ in range(rng.randrange(18, 40))) for a in ("abc1", "aB1/", string.ascii_letters, "0123456789abcdef", "AB-12_cd") for _ in range(60)]
+    assert classes(spark, values) == {v: windows(v) for v in values}
+
+
+NAMES = """getUserAccountByEmail2 src/main/java/OrderService2Impl internationalization_of_strings AbstractSingletonProxyFactoryBean
+test_join_left_outer_2_columns com/example/project/module_v2/handlers MAX_RETRY_COUNT_PER_HOST_V2 application/x-www-form-urlencoded
+HttpServletRequestWrapper2 /usr/local/share/doc/python3 2024-01-02T03-04-05-backup libstdc++-v3-include-prerequisites
+convertTimestampToLocalDate3 kubernetes-io-service-account-1 X-Content-Type-Options-Header user_profile_settings_page_2
+Donaudampfschifffahrtsgesellschaft 00000000000000000000001 numberOfPartitionsPerExecutor12 batch_size_1024_learning_rate_3""".split()
+
+
+def test_precision_and_recall_of_each_class(spark):
+    rng = random.Random(5)
+    drawn = {
+        "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": string.ascii_lowercase + string.digits,
+        "base32": string.ascii_uppercase + "234567", "upper": string.ascii_uppercase + string.digits,
+        "mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "letters": string.ascii_letters,
+    }
+    values = {n: ["".join(rng.choice(a) for _ in range(40)) for _ in range(60)] for n, a in drawn.items()}
+    values["KEY="] = ["KEY=" + v.upper() for v in values["hex"]]
+    got = classes(spark, [v for vs in values.values() for v in vs] + NAMES + ["k7q2m9x4z8w1v5t3r6p0n2", "ABCD1234EFGH5678IJKL9"])
+    for name, vs in values.items():
+        assert sum(got[v] is not None for v in vs) >= (0.85 if name == "letters" else 0.9) * len(vs), name
+    assert [n for n in NAMES if got[n]] == []
+    assert got["k7q2m9x4z8w1v5t3r6p0n2"] == "lower" and got["ABCD1234EFGH5678IJKL9"] == "upper"
+
+
+def test_entropy_finds_what_the_shapes_do_not(spark):
+    rng = random.Random(6)
+    key = lambda a: "".join(rng.choice(a) for _ in range(40))
+    rows = [(i, f"the key is {key(string.ascii_letters + string.digits)} and the host {rng.choice(NAMES)}") for i in range(40)]
+    rows.append((99, "A1b+" * 20_000 + " " + key("0123456789ABCDEF")))
+    got = {r["doc_id"]: r for r in s.secret_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(r["n_entropy"] for r in got.values()) >= 38 and all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 for r in got.values())
+    assert got[99]["spans"].endswith(f":{4 * 20_000 + 41}")
 
 
 def test_redaction_and_empty(spark):
