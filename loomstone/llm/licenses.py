@@ -3,13 +3,15 @@
 Rolling hashes of k words meet the positions of the same hashes in the license
 templates; hits of one document and template vote for their offset (document
 position less template position), neighbouring offsets are merged, so that a
-word more or less does not break a span, and spans are verified by how much of
-the template they cover and by the words that tell licences apart.
+word more or less does not break a span.  A span is verified by alignment: the
+template's positions that it holds in the template's order must be most of the
+template, within little more than its length, and the words that tell licences
+apart must be among them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.columns import pick
@@ -78,17 +80,61 @@ TEMPLATES = {
         "licensed under the gnu general public license version 2",
         "this work is licensed under the gnu general public license version 2",
     ],
+    "lgpl-2.1": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+        "license as published by the free software foundation either version 2 1 of the license or at your option any later "
+        "version",
+        "licensed under the gnu lesser general public license version 2 1",
+    ],
+    "lgpl-3": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+        "license as published by the free software foundation either version 3 of the license or at your option any later "
+        "version",
+        "licensed under the gnu lesser general public license version 3",
+    ],
+    "agpl-3": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+        "license as published by the free software foundation either version 3 of the license or at your option any later "
+        "version",
+        "licensed under the gnu affero general public license version 3",
+    ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the "
         "following conditions are met",
     ],
+    "bsd-2-clause": [
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
+        "disclaimer in the documentation and or other materials provided with the distribution this software is provided by the "
+        "copyright holders and contributors as is",
+    ],
+    "bsd-3-clause": [
+        "the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission",
+    ],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "epl-2": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which "
+        "is available at https www eclipse org legal epl 2 0",
+    ],
     "mpl-2": [
         "this source code form is subject to the terms of the mozilla public license v 2 0",
     ],
+    "cc0": [
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "licensed under cc0 1 0 universal",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile "
+        "sell or distribute this software",
+    ],
 }
 #: Words that tell a licence from its near relatives: each that a template holds must stand in a span (GRAM words at most).
 KEYS = [
-    "gnu general", "license version 2", "license version 3", "either version 2", "either version 3", "mit license",
+    "gnu general", "gnu lesser general", "gnu affero general", "license version 2", "license version 3", "either version 2",
+    "either version 3", "version 2 1", "version 2 of", "version 3 of", "mit license", "distribution this software", "eclipse public", "cc0 1",
     "apache license", "mozilla public", "by 4 0", "by nc 4", "by sa 4", "by nd 4", "by nc sa", "nc sa 4", "by nc nd", "nc nd 4",
     "attribution 4", "attribution noncommercial 4", "attribution sharealike 4", "attribution noderivatives 4",
     "attribution noncommercial sharealike", "noncommercial sharealike 4",
@@ -97,8 +143,11 @@ KEYS = [
 GRAM = 3
 #: Offsets that differ by at most this much are one diagonal.
 DRIFT = 2
-#: Share of a template's grams that a span must cover.
+#: Share of a template's grams that a span must hold in order, and how long it may be, in lengths of the template, and words more.
 COVER = 0.8
+LONGEST, SLACK = 1.5, 2
+#: So many grams of templates may be written into the plan and broadcast; with more, all grams of the texts are joined.
+FEW_GRAMS = 20_000
 
 
 def _gram(words: Column, at: Column, size: int = GRAM) -> Column:
@@ -106,7 +155,7 @@ def _gram(words: Column, at: Column, size: int = GRAM) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """(template, label, grams, at, gram): every gram position of the templates, a fixed small table."""
+    """(template, label, grams, at, gram): every gram position of the templates, as many rows as they have words."""
     rows = [(i, label, t.split()) for i, (label, t) in enumerate((k, t) for k, ts in templates.items() for t in ts)]
     base = spark.createDataFrame(rows, "template int, label string, words array<string>")
     n = F.size("words") - (GRAM - 1)
@@ -151,12 +200,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     words, by position; of spans that overlap, those with most votes.  Null and empty texts have neither.  Repeated rows are
     scanned each, a null doc_id stays, an empty table gives no rows.
 
-    Hits are found where the words are and only they are shuffled.  The
-    templates are a fixed table, so broadcasting them is safe at any size.
+    Hits are found where the words are and only they are shuffled, by row and
+    template.  A caller's templates beyond FEW_GRAMS are neither collected nor broadcast.
     """
     spark = docs.sparkSession
     grams = template_grams(spark, templates)
-    known = [r["gram"] for r in grams.select("gram").distinct().collect()]
+    few = sum(len(t.split()) for ts in templates.values() for t in ts) <= FEW_GRAMS
+    known = [r["gram"] for r in grams.select("gram").distinct().collect()] if few else []
+    small = F.broadcast if few else lambda df: df
     rows = pick(docs, "doc_id", "text").select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
 
     def facts(words: Column) -> Column:
@@ -169,7 +220,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
         return F.struct(
             n.cast("bigint").alias("n_words"),
             F.array_sort(F.concat(*base)).alias("base"),
-            F.filter(all_grams, lambda g: g["gram"].isin(known)).alias("hits"),
+            (F.filter(all_grams, lambda g: g["gram"].isin(known)) if few else all_grams).alias("hits"),
         )
 
     found = rows.select("doc_id", let(split_words(F.col("text"), BETWEEN), facts).alias("f")).select(
@@ -181,26 +232,27 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
         found.filter(F.size("hits") > 0)
         .select("row", F.explode("hits").alias("h"))
         .select("row", "h.pos", "h.gram")
-        .join(F.broadcast(grams), "gram")
-        .groupBy("row", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .agg(F.collect_set("at").alias("ats"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .join(small(grams), "gram")
+        .select("row", "template", "label", "grams", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     )
-    # One array a row and template: at most one entry for each diagonal that got a vote.
-    merged = votes.groupBy("row", "template", "label", "grams").agg(
-        F.array_sort(F.collect_list(F.struct("diagonal", "low", "high", "ats"))).alias("d")
+    # Diagonals in order; a step wider than DRIFT begins a new chain.
+    along = Window.partitionBy("row", "template").orderBy("diagonal", "pos")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT, F.lit(True)).cast("int")
+    chains = (
+        votes.withColumn("far", far)
+        .withColumn("chain", F.sum("far").over(along))
+        .groupBy("row", "template", "label", "grams", "chain")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "pos"))).alias("hits"), F.min("pos").alias("first"), (F.max("pos") + GRAM - 1).alias("last"))
     )
-    chains = merged.select("row", "template", "label", "grams", F.explode(_chain(F.col("d"))).alias("c"))
     spans = (
-        chains.withColumn("cover", F.size(F.array_distinct("c.ats")) / F.col("grams"))
+        chains.withColumn("held", _in_order(F.col("hits")))
+        .withColumn("cover", F.size("held") / F.col("grams"))
         .filter(F.col("cover") >= COVER)
-        .join(F.broadcast(key_grams(spark, templates)), "template")
-        .filter(F.forall("keys", lambda k: F.arrays_overlap(k, F.col("c.ats"))))
+        .filter(F.col("last") - F.col("first") + 1 <= LONGEST * (F.col("grams") + GRAM - 1) + SLACK)
+        .join(small(key_grams(spark, templates)), "template")
+        .filter(F.forall("keys", lambda k: F.arrays_overlap(k, F.col("held"))))
         .groupBy("row")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col("c.low").alias("first"), (F.col("c.high") + GRAM - 1).alias("last"), "label", "cover", F.size(F.array_distinct("c.ats")).alias("votes")))
-            ).alias("spans")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("first", "last", "label", "cover", F.size("held").alias("votes")))).alias("spans"))
     )
     # Templates that differ in a version number vote for one place; the one with most votes wins it.
     spans = spans.withColumn(
@@ -222,25 +274,15 @@ def _labelled(label: str):
     return lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
 
 
-def _chain(d: Column) -> Column:
-    """Neighbouring diagonals, at most DRIFT apart, as one entry: low, high, ats."""
-    kind = "array<struct<diagonal:bigint,low:int,high:int,ats:array<int>>>"
+def _in_order(hits: Column) -> Column:
+    """The template positions of a chain, array<struct<at, pos>> by at, that stand in the text in the same order."""
+    zero = F.struct(F.array().cast("array<int>").alias("ats"), F.lit(-1).alias("at"), F.lit(-1).alias("pos"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (x["diagonal"] - last["diagonal"] <= DRIFT)
-        joined = F.struct(
-            x["diagonal"].cast("bigint").alias("diagonal"),
-            F.least(last["low"], x["low"]).alias("low"),
-            F.greatest(last["high"], x["high"]).alias("high"),
-            F.concat(last["ats"], x["ats"]).alias("ats"),
-        )
-        alone = F.struct(x["diagonal"].cast("bigint").alias("diagonal"), x["low"], x["high"], x["ats"])
-        return F.when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)).cast(kind)).otherwise(
-            F.concat(acc, F.array(alone)).cast(kind)
-        )
+    def step(a: Column, h: Column) -> Column:
+        taken = F.struct(F.concat(a["ats"], F.array(h["at"])).alias("ats"), h["at"].alias("at"), h["pos"].alias("pos"))
+        return F.when((h["at"] > a["at"]) & (h["pos"] > a["pos"]), taken).otherwise(a)
 
-    return F.aggregate(d, F.array().cast(kind), step)
+    return F.aggregate(hits, zero, step, lambda a: a["ats"])
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
