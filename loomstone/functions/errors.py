@@ -86,3 +86,22 @@ def http_delay(retry_after: Column, base: float, attempt: Column) -> Column:
     """What the server asked for, between 0 and 30 seconds, else a doubling delay of at most 10."""
     asked = retry_after.try_cast("double")
     return F.coalesce(F.least(F.greatest(asked, F.lit(0.0)), F.lit(30.0)), F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(10.0)))
+
+
+#: What to do after an error of each type (the types are fixed values).
+NEXT_STEPS = {
+    "client_challenge": "The site asks for proof that a person is there; asking again as is will not help.",
+    "blocked": "The site refuses this client; another address or a saved login may be let in.",
+    "rate_limited": "Too many requests; wait, or go more slowly.",
+    "timeout": "The site was too slow; try once more, or allow more time.",
+    "not_found": "There is no such page; check the URL.",
+    "tls_error": "The site's certificate is not valid, so the page cannot be trusted.",
+    "network_error": "The site cannot be reached; check the host, or try later.",
+    "section_not_found": "The page has no such section; choose one of its outline.",
+    "browser_error": "The browser failed on the page; try once more, or without one.",
+}
+
+
+def next_step(error_type: Column) -> Column:
+    """What to do after an error; null for no error and for types that have no advice."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in NEXT_STEPS.items() for x in pair)), error_type)

@@ -57,7 +57,7 @@ def violation(value: Any, schema: dict, root: dict | None = None, path: str = "$
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_is(value, k) for k in kinds):
         return f"{path}: not of type {' or '.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(value == x and isinstance(value, bool) == isinstance(x, bool) for x in schema["enum"]):
         return f"{path}: not one of the allowed values"
     if "const" in schema and value != schema["const"]:
         return f"{path}: not the required value"

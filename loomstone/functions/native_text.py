@@ -1,9 +1,18 @@
-"""DuckDB spellings of the page columns, shared by several query twins."""
+"""Helpers for native columns, and DuckDB spellings of the page columns that several query twins share."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
 
 @dataclass(frozen=True)
 class PageTextSql:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.functions.native_text import let
+
 # Sizes that tell a page from an interstitial or an app shell.
 SHORT_CHARS, VERY_SHORT_CHARS, SHELL_CHARS = 1500, 600, 250
 
@@ -99,20 +101,30 @@ def challenge(html: Column, text: Column) -> Column:
     An interstitial's title is enough.  On short pages two kinds of evidence
     (titles, vendors, phrases) are needed, or a phrase or wall on a very short one.
     """
-    html, text = F.coalesce(html, F.lit("")), F.coalesce(text, F.lit(""))
-    name = title(html)
-    chars = F.length(no_space(text))
-    titles, vendors, walls, phrases = (
-        _hits(name, SHORT_TITLES), _hits(html, VENDORS, "vendor: "), _hits(html, WALLS, "vendor: "), _hits(text, PHRASES)
-    )
+    html = F.coalesce(html, F.lit(""))
+    none = F.array().cast("array<string>")
     some = lambda a: (F.size(a) > 0).cast("int")
-    enough = (some(titles) + some(vendors) + some(phrases) >= 2) | (
-        (some(phrases) + some(walls) > 0) & (chars <= VERY_SHORT_CHARS)
-    )
-    more = F.when((chars <= SHORT_CHARS) & enough, F.concat(titles, vendors, walls, phrases)).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.struct(F.concat(_hits(name, CHALLENGE_TITLES), more).alias("signals"), chars.alias("text_chars"))
+
+    def evidence(page: Column) -> Column:
+        return F.struct(
+            _hits(page["name"], SHORT_TITLES).alias("titles"), _hits(html, VENDORS, "vendor: ").alias("vendors"),
+            _hits(html, WALLS, "vendor: ").alias("walls"), _hits(page["text"], PHRASES).alias("phrases"),
+        )
+
+    def weighed(page: Column, e: Column) -> Column:
+        kinds = some(e["titles"]) + some(e["vendors"]) + some(e["phrases"])
+        short = (some(e["phrases"]) + some(e["walls"]) > 0) & (page["chars"] <= VERY_SHORT_CHARS)
+        return F.when((kinds >= 2) | short, F.concat(e["titles"], e["vendors"], e["walls"], e["phrases"])).otherwise(none)
+
+    def judged(page: Column) -> Column:
+        # Long pages skip all but the titles; what is used twice is bound once.
+        more = F.when(page["chars"] <= SHORT_CHARS, let(evidence(page), lambda e: weighed(page, e))).otherwise(none)
+        return F.struct(F.concat(_hits(page["name"], CHALLENGE_TITLES), more).alias("signals"), page["chars"].alias("text_chars"))
+
+    def counted(t: Column) -> Column:
+        return F.struct(title(html).alias("name"), t.alias("text"), F.length(no_space(t)).alias("chars"))
+
+    return let(let(F.coalesce(text, F.lit("")), counted), judged)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -163,3 +163,23 @@ def host_matches(name: Column, allow: list[str]) -> Column:
         else:
             out = out | (name == base)
     return out
+
+
+def domain_candidate(name: Column, unwanted: list[str], adult: str = "^xh|escort|fap|nsfw|hentai") -> Column:
+    """Whether a domain may be drawn for a sample: it matches no adult pattern and holds no unwanted token."""
+    out = ~F.coalesce(name, F.lit("")).rlike(adult)
+    for token in unwanted:
+        out = out & ~F.contains(name, F.lit(token))
+    return out
+
+
+def inside_folder(path: Column, root: str) -> Column:
+    """Whether a local path, its . and .. resolved, lies in the folder ``root`` or is it; links are not followed."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+
+    def climb(acc: Column, p: Column) -> Column:
+        return F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+
+    resolved = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), climb), "/"), F.lit("/"))
+    base = "/" + "".join(f"{p}/" for p in root.split("/") if p not in ("", "."))
+    return F.coalesce(path.startswith("/") & F.startswith(resolved, F.lit(base)), F.lit(False))

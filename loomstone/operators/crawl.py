@@ -7,6 +7,8 @@ shared folder, so lineage stays short and a lost executor repeats one level.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,31 +90,42 @@ def _resume(spark: SparkSession, state: str | None, root: str):
     return saved.filter(F.col("level") == last).select("url", "depth", "seq"), int(last)
 
 
-def best_first(edges: DataFrame, scores: DataFrame, root: str, page_limit: int, batch: int = 8, streak: int = 3, least: float = 1 / 3) -> list[tuple[str, float]]:
-    """URLs in the order of a crawl that takes the best scored known links first.
+def best_first(edges: DataFrame, scores: DataFrame, root: str, page_limit: int, ahead: int = 8, streak: int = 3, least: float = 1 / 3) -> list[tuple[str, float]]:
+    """URLs in the order of a crawl that always takes the best scored known link, the first found of equals.
 
-    edges: (src, dst).  scores: (url, score).  Stops after ``streak`` pages in a
-    row below ``least``.  The order and the stop are decided on the driver, for at
-    most ``page_limit`` pages; links and scores stay distributed.
+    edges: (src, dst).  scores: (url, score); a link without one has 0.  Stops
+    after ``streak`` pages in a row below ``least``.  Only the best ``page_limit``
+    links can ever be taken, so the driver holds no more of the queue, and of a
+    page; links are read for the next ``ahead`` pages of the queue at once.
     """
-    spark = edges.sparkSession
-    visited: list[tuple[str, float]] = []
-    frontier = spark.createDataFrame([(root, 0)], "url string, seq int")
-    bad = 0
-    while len(visited) < page_limit:
-        known = [u for u, _ in visited]
-        ready = frontier.filter(~F.col("url").isin(known)) if known else frontier
-        ready = ready.groupBy("url").agg(F.min("seq").alias("seq")).join(scores, "url", "left").fillna({"score": 0.0})
-        take = ready.orderBy(F.col("score").desc(), "seq", "url").limit(min(batch, page_limit - len(visited))).collect()
-        if not take:
+    rated = lambda df: df.join(scores, "url", "left").fillna({"score": 0.0})
+    known: dict[str, list[tuple[float, str]]] = {}
+
+    def read(urls: list[str]) -> None:
+        out = edges.filter(F.col("src").isin(urls)).select("src", F.col("dst").alias("url")).distinct()
+        best = Window.partitionBy("src").orderBy(F.col("score").desc(), "url")
+        rows = rated(out).withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= page_limit)
+        known.update({u: [] for u in urls})
+        for r in rows.select("src", "score", "url").collect():
+            known[r["src"]].append((-r["score"], r["url"]))
+
+    start = rated(edges.sparkSession.createDataFrame([(root,)], "url string")).first()
+    queue: list[tuple[float, int, str]] = [(-start["score"], 0, root)]
+    seen, visited, bad = {root}, [], 0
+    while queue and len(visited) < page_limit:
+        loss, _, url = heapq.heappop(queue)
+        visited.append((url, -loss))
+        bad = 0 if -loss >= least or len(visited) == 1 else bad + 1
+        if bad >= streak:
             break
-        for r in take:
-            visited.append((r["url"], r["score"]))
-            bad = 0 if r["score"] >= least or len(visited) == 1 else bad + 1
-            if bad >= streak:
-                return visited
-        new = edges.filter(F.col("src").isin([r["url"] for r in take])).select(F.col("dst").alias("url"), F.lit(len(visited)).alias("seq"))
-        frontier = persist_table(frontier.unionByName(new), "frontier")
+        if url not in known:
+            following = (u for _, _, u in heapq.nsmallest(ahead - 1, queue))
+            read([url, *(u for u in following if u not in known)])
+        for cost, link in sorted(known.pop(url)):
+            if link not in seen:
+                seen.add(link)
+                heapq.heappush(queue, (cost, len(visited), link))
+        queue = heapq.nsmallest(page_limit - len(visited), queue)
     return visited
 
 

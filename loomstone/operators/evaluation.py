@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import difflib
-from math import comb
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def mcnemar_p(a_only: int, b_only: int) -> float:
-    """Exact two-sided p-value of a paired comparison: the smaller side of a fair coin, doubled."""
-    n, k = a_only + b_only, min(a_only, b_only)
-    return 1.0 if n == 0 else min(1.0, sum(comb(n, i) for i in range(k + 1)) / 2 ** (n - 1))
+def mcnemar_p(a_only: Column, b_only: Column) -> Column:
+    """Exact two-sided p-value of a paired comparison: the smaller side of a fair coin, doubled.
+
+    The greatest term of the sum comes from logarithms, the others from their ratios to the one before.
+    """
+    n, k = (a_only + b_only).cast("double"), F.least(a_only, b_only).cast("int")
+    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    top = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.ln((n - k + i) / i)) - (n - 1) * log(2)
+    total = F.aggregate(
+        F.reverse(steps), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, i: F.struct((a["term"] * i / (n - i + 1)).alias("term"), (a["sum"] + a["term"] * i / (n - i + 1)).alias("sum")),
+        lambda a: a["sum"],
+    )
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(top) * total))
 
 
 def paired_counts(results: DataFrame) -> DataFrame:
@@ -20,9 +30,8 @@ def paired_counts(results: DataFrame) -> DataFrame:
     left = results.select("page", F.col("tool").alias("a"), F.col("ok").alias("a_ok"))
     right = results.select("page", F.col("tool").alias("b"), F.col("ok").alias("b_ok"))
     both = left.join(right, "page").filter("a < b")
-    p = F.udf(lambda x, y: mcnemar_p(x, y), "double")
     counts = both.groupBy("a", "b").agg(F.count_if(F.col("a_ok") & ~F.col("b_ok")).alias("a_only"), F.count_if(F.col("b_ok") & ~F.col("a_ok")).alias("b_only"))
-    return counts.withColumn("p", p("a_only", "b_only"))  # one row a pair of tools
+    return counts.withColumn("p", mcnemar_p(F.col("a_only"), F.col("b_only")))
 
 
 def sentences(text: Column, least: int = 50) -> Column:

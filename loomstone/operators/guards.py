@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.urls import host, part, port
+from loomstone.functions.urls import host, origin, part, port
 
 MAX_URL = 8192
 
@@ -48,21 +49,46 @@ def audit_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """``pages`` with a column allowed by their host's robots.txt; robots: (host, body); a missing file allows all."""
+def product_token(agent: str, product: str) -> str:
+    """The name that robots rules are matched with: ``product``, with its version where the user agent gives one."""
+    m = re.search(rf"{re.escape(product)}(?:/[\d.]+)?", agent or "")
+    return m[0] if m else product
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(origin, rules, refused): each robots file read once; robots: (origin, status, body).
+
+    rules: array<struct<allow, path>> that concern the agent, in the order of the
+    file.  429, 5xx and no answer refuse everything; other 4xx have no rules.
+    """
     from urllib.robotparser import RobotFileParser
 
-    @F.udf("boolean", useArrow=True)
-    def may(body: str | None, url: str) -> bool:
-        if body is None:
-            return True
-        rules = RobotFileParser()
-        rules.parse(body.splitlines())
-        return rules.can_fetch(agent, url)
-
-    rules = robots.select(F.col("host").alias("_host"), "body")
-    joined = pages.join(rules, host(F.col("url")) == F.col("_host"), "left")
-    return joined.withColumn("allowed", may("body", "url")).drop("_host", "body")
+    @F.udf("array<struct<allow:boolean,path:string>>", useArrow=True)
+    def read(body: str | None) -> list[tuple[bool, str]]:
+        parser = RobotFileParser()
+        parser.parse((body or "").splitlines())
+        mine = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+        return [(line.allowance, line.path) for line in mine.rulelines] if mine else []
+
+    status = F.col("status")
+    refused = status.isNull() | (status == 429) | (status >= 500)
+    body = F.when(status.between(200, 399), F.col("body"))
+    return robots.select("origin", read(body).alias("rules"), refused.alias("refused"))
+
+
+def robots_allowed(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """``pages`` (url, ...) with allowed, by the robots file of their origin; robots: (origin, status, body).
+
+    The first rule whose path begins the page's path and query decides, and
+    robots.txt itself is always allowed.  An origin that is not in ``robots`` allows all.
+    """
+    rules = robots_rules(robots, agent).select(origin(F.col("origin")).alias("_origin"), "rules", "refused")
+    url = F.col("url")
+    path = F.concat(F.when(part(url, 4) == "", "/").otherwise(part(url, 4)), F.when(part(url, 5) == "", "").otherwise(F.concat(F.lit("?"), part(url, 5))))
+    hit = F.get(F.filter("rules", lambda r: (r["path"] == "*") | F.startswith(path, r["path"])), F.lit(0))
+    verdict = F.when(path == "/robots.txt", True).when(F.col("refused"), False).otherwise(F.coalesce(hit["allow"], F.lit(True)))
+    joined = pages.join(rules, origin(url) == F.col("_origin"), "left")
+    return joined.withColumn("allowed", F.coalesce(verdict, F.lit(True))).drop("_origin", "rules", "refused")
 
 
 def discovered_apis(calls: DataFrame, limit: int = 30) -> DataFrame:

@@ -166,11 +166,24 @@ def envelope(df: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def new_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Requests marked created, reused (same key, same request) or mismatch, by (type, owner_key, idempotency_key)."""
+    """Requests (seq, ...) marked created, reused (same key, same request) or mismatch, by (type, owner_key, idempotency_key).
+
+    A request without a key is always created.  Of requests with one new key the
+    first by seq is created, and the others are judged by it.
+    """
     keys = ["type", "owner_key", "idempotency_key"]
     old = jobs.filter("idempotency_key is not null").select(*keys, F.col("request_json").alias("_old"))
-    outcome = F.when(F.col("_old").isNull(), "created").when(F.col("_old") == F.col("request_json"), "reused").otherwise("mismatch")
-    return requests.join(old, keys, "left").withColumn("outcome", outcome).drop("_old")
+    first = requests.filter("idempotency_key is not null").groupBy(*keys).agg(
+        F.min("seq").alias("_seq"), F.min_by("request_json", "seq").alias("_first")
+    )
+    known = first.join(old, keys, "left")
+    same = lambda c: F.when(F.col(c) == F.col("request_json"), "reused").otherwise("mismatch")
+    outcome = (
+        F.when(F.col("_old").isNotNull(), same("_old"))
+        .when(F.col("_seq").isNull() | (F.col("_seq") == F.col("seq")), "created")
+        .otherwise(same("_first"))
+    )
+    return requests.join(known, keys, "left").withColumn("outcome", outcome).drop("_old", "_seq", "_first")
 
 
 def job_states(transitions: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def crawl_best_first(spark, sf_dir):
     scores = r.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("url"), (F.pmod(F.xxhash64("page_id"), F.lit(100)) / 100.0).alias("score"))
     host = r.groupBy("host").count().orderBy(F.col("count").desc(), "host").first()["host"]
     root = r.filter((F.col("host") == host) & (F.col("i") == 0)).first()["page_id"]
-    order = crawl.best_first(_edges(spark, sf_dir).select("src", "dst"), scores, f"p{root}", 10, batch=2)
+    order = crawl.best_first(_edges(spark, sf_dir).select("src", "dst"), scores, f"p{root}", 10)
     return spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(order)], "place int, url string, score double")
 
 
@@ -87,11 +87,15 @@ def llms_txt(spark, sf_dir):
     return crawl.llms_txt(p, "Site", "All of it")
 
 
-@query("document_kinds", "SELECT CASE WHEN url LIKE '%.html%' THEN 'pdf' END AS kind, count(*) AS n FROM pages GROUP BY 1")
+@query("document_kinds", """SELECT page_id, CASE WHEN length(html) % 3 = 1 THEN 'pdf' WHEN length(html) % 3 = 2 AND url LIKE '%.html' AND page_id % 5 > 0 THEN ['pdf', 'docx', 'xlsx', 'pptx'][page_id % 5] END AS kind
+FROM (SELECT page_id, html, regexp_extract(url, '^[^?#]*', 0) AS url FROM pages)""")
 def document_kinds(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    kind = document_kind(F.when(F.col("url").contains(".html"), "application/pdf").otherwise("text/html"), F.col("url"))
-    return p.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """Pages with other suffixes, and content types by their length: HTML, PDF, or a generic one."""
+    suffix = F.element_at(F.array(*map(F.lit, [".txt", ".pdf", ".docx", ".XLSX", ".pptx"])), (F.col("page_id") % 5 + 1).cast("int"))
+    n = F.length("html") % 3
+    kind = F.when(n == 0, "text/html").when(n == 1, "application/pdf").otherwise(F.when(F.col("page_id") % 2 == 0, "application/octet-stream").otherwise(""))
+    url = F.replace("url", F.lit(".html"), suffix)
+    return table(spark, sf_dir, "pages").select("page_id", document_kind(kind, url).alias("kind"))
 
 
 @query("csv_document", "SELECT '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation")

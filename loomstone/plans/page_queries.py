@@ -38,13 +38,40 @@ def page_needs_javascript(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", pages.needs_javascript(F.col("html")).alias("needs_javascript"))
 
 
-@query("page_challenges", f"""SELECT page_id, CAST(length(regexp_replace(t, '\\s+', '', 'g')) AS INTEGER) AS text_chars,
-  array_to_string(list_filter([CASE WHEN regexp_matches(title, '(?i)^just a moment\\.*$') THEN 'title: just a moment' END], lambda x: x IS NOT NULL), ';') AS signals
-  FROM (SELECT page_id, {T.title} AS title, {T.plain} AS t FROM pages)""")
+#: What is put before every second page, in turn, so that there are challenges to find.
+SPIKES = [
+    "<title>Just a moment...</title>", "<title>Access denied</title><p>Unusual traffic from your network</p>", "<title>One more step</title>",
+    "<script src='/cdn-cgi/challenge-platform/x.js'></script>", "<p>Please verify that you are a human</p>", "<form action='/errors/validateCaptcha'>",
+    "<title>Are you a robot?</title>", "<div class='h-captcha'></div><p>Checking your browser</p>", "<p>Press & hold</p><p>We use cookies</p>",
+    "<title>Captcha</title><script src='https://geo.captcha-delivery.com/c.js'></script>", "<p>You've been blocked</p>",
+]
+
+
+def _any_sql(column: str, patterns: list[tuple[str, str]], prefix: str = "") -> str:
+    quoted = [(prefix + n).replace("'", "''") for n, _ in patterns]
+    tests = [f"CASE WHEN regexp_matches({column}, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, (_, p) in zip(quoted, patterns, strict=True)]
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+_SPIKE_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in SPIKES) + "]"
+CHALLENGES_SQL = f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE {_SPIKE_SQL}[(page_id // 2) % {len(SPIKES)} + 1] || substr(html, 1, 1 + 120 * (page_id % 30)) END AS html FROM pages),
+t AS (SELECT page_id, html, {T.title} AS title, array_to_string(list_filter(string_split({T.plain}, chr(10)), lambda x: NOT regexp_matches(x, '(?i){pages.COOKIE}')), chr(10)) AS text FROM p),
+s AS (SELECT page_id, length(regexp_replace(text, '\\s+', '', 'g')) AS n, {_any_sql("title", pages.CHALLENGE_TITLES)} AS sure, {_any_sql("title", pages.SHORT_TITLES)} AS titles,
+  {_any_sql("html", pages.VENDORS, "vendor: ")} AS vendors, {_any_sql("html", pages.WALLS, "vendor: ")} AS walls, {_any_sql("text", pages.PHRASES)} AS phrases FROM t)
+SELECT page_id, CAST(n AS INTEGER) AS text_chars, array_to_string(list_concat(sure, CASE WHEN n <= 1500 AND ((len(titles) > 0)::INT + (len(vendors) > 0)::INT + (len(phrases) > 0)::INT >= 2
+  OR ((len(phrases) > 0 OR len(walls) > 0) AND n <= 600)) THEN list_concat(list_concat(titles, vendors), list_concat(walls, phrases)) ELSE [] END), ';') AS signals FROM s"""
+
+
+@query("page_challenges", CHALLENGES_SQL)
 def page_challenges(spark, sf_dir):
+    """Challenge signals of all pages, every second one cut short behind what a bot wall may show."""
+    k = F.floor(F.col("page_id") / 2) % len(SPIKES) + 1
+    short = F.substring("html", F.lit(1), (1 + 120 * (F.col("page_id") % 30)).cast("int"))
+    spiked = F.concat(F.element_at(F.array(*map(F.lit, SPIKES)), k.cast("int")), short)
+    rows = _pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(spiked).alias("html"))
     html = F.col("html")
     v = pages.challenge(html, pages.without_cookie_lines(pages.plain_text(html)))
-    return _pages(spark, sf_dir).select("page_id", v.alias("v")).select("page_id", "v.text_chars", F.array_join("v.signals", ";").alias("signals"))
+    return rows.select("page_id", v.alias("v")).select("page_id", "v.text_chars", F.array_join("v.signals", ";").alias("signals"))
 
 
 @query("page_tokens", "SELECT page_id, CASE WHEN length(html) = 0 THEN 0 ELSE greatest(1, length(html) // 4) END AS html_tokens, CAST(octet_length(encode(html)) AS BIGINT) AS html_bytes FROM pages")

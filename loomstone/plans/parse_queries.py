@@ -72,15 +72,20 @@ def css_records(spark, sf_dir):
     return css.extract_records(_pages(spark, sf_dir), SCHEMA)
 
 
-@query("props_shapes", """SELECT '{"k": "number"}' AS shape, count(*) AS n FROM events""")
+@query("props_shapes", """SELECT '{"name": "string", "balance": "' || CASE WHEN c_acctbal > 0 THEN 'number' ELSE 'null' END || '", "debtor": "boolean", "orders": ' || CASE WHEN o_custkey IS NULL THEN '[]' ELSE '["number"]' END || '}' AS shape, count(*) AS n
+FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey GROUP BY 1""")
 def props_shapes(spark, sf_dir):
-    """Shapes of the events' JSON."""
+    """Shapes of customers as JSON, with a balance only where it is positive and a list of their orders."""
 
     @F.udf("string", useArrow=True)
     def shape(text):
         return json.dumps(jsons.shape(json.loads(text))) if text else None
 
-    return table(spark, sf_dir, "events").groupBy(shape("props").alias("shape")).agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("orders"))
+    c = table(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+        F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"), (F.col("c_acctbal") < 0).alias("debtor"), F.coalesce("orders", F.array().cast("array<bigint>")).alias("orders"))
+    text = F.to_json(F.struct("name", "balance", "debtor", "orders"), {"ignoreNullFields": "false"})
+    return c.groupBy(shape(text).alias("shape")).agg(F.count("*").alias("n"))
 
 
 @query("props_violations", "SELECT CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 80 THEN '$.k: above 80' END AS problem, count(*) AS n FROM events GROUP BY 1")

@@ -4,6 +4,7 @@ from loomstone.plans import (  # noqa: F401
     crawl_queries,
     page_queries,
     parse_queries,
+    report_queries,
     scalar_queries,
     text_queries,
     url_queries,

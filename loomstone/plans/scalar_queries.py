@@ -16,9 +16,15 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
-@query("numbers_in_text", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1234.5 WHEN 1 THEN 1234.5 WHEN 2 THEN 12345 WHEN 3 THEN 7.25 ELSE NULL END::DOUBLE AS value FROM orders")
+@query("numbers_in_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 4 = 3 THEN floor(o_totalprice) ELSE CAST(round(o_totalprice, 2) AS DOUBLE) END AS value FROM orders")
 def numbers_in_text(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, ["EUR 1.234,50 net", "$1,234.50", "about 12,345 of", "7,25", "none"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    """Prices written in four ways, and words without a number, back to numbers."""
+    english = F.format_number("o_totalprice", 2)
+    german = F.translate(english, ",.", ".,")
+    whole = F.format_number(F.floor("o_totalprice"), 0)
+    way = F.col("o_orderkey") % 4
+    text = F.when(way == 0, F.concat(F.lit("EUR "), german, F.lit(" net"))).when(way == 1, F.concat(F.lit("$"), english)).when(way == 2, F.concat(F.lit("about "), F.replace(english, F.lit(","), F.lit("")), F.lit(".")))
+    text = F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderstatus")).otherwise(text.otherwise(F.concat(whole, F.lit(" of"))))
     return table(spark, sf_dir, "orders").select("o_orderkey", s.number(text).alias("value"))
 
 
@@ -52,20 +58,18 @@ def section_extents(spark, sf_dir):
     return s.section_ends(h, "user_id", "event_id", "level").select("event_id", "stop")
 
 
-@query("conditional_fetches", "SELECT page_id % 3 = 0 AS not_modified, count(*) AS n FROM pages GROUP BY 1")
+@query("conditional_fetches", "SELECT length(html) <= 3300 AS not_modified, count(*) AS n FROM pages GROUP BY 1")
 def conditional_fetches(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.sha2("html", 256).alias("etag"), "page_id")
-    stored = p.select("url", F.when(F.col("page_id") % 3 == 0, F.col("etag")).otherwise("old").alias("etag"))
-    return s.not_modified(p, stored).groupBy("not_modified").agg(F.count("*").alias("n"))
+    """Tags of pages against those of the same pages cut at 3,300 characters: equal where nothing was cut."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), F.sha2("html", 256).alias("etag"), F.sha2(F.substring("html", 1, 3300), 256).alias("old"))
+    return s.not_modified(p.select("url", "etag"), p.select("url", F.col("old").alias("etag"))).groupBy("not_modified").agg(F.count("*").alias("n"))
 
 
-@query("fetch_fallbacks", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'http' WHEN page_id % 5 = 0 THEN 'browser' ELSE 'browser' END AS fetcher, page_id % 3 = 0 OR page_id % 5 = 0 AS ok FROM pages")
+@query("fetch_fallbacks", """SELECT user_id, coalesce(min(event_id) FILTER (event_type = 'purchase'), max(event_id)) AS event_id, bool_or(event_type = 'purchase') AS ok FROM events WHERE value > 30 GROUP BY user_id""")
 def fetch_fallbacks(spark, sf_dir):
-    """HTTP first, a browser where it failed."""
-    p = table(spark, sf_dir, "pages").select("page_id")
-    tries = p.select("page_id", F.lit(1).alias("priority"), F.lit("http").alias("fetcher"), (F.col("page_id") % 3 == 0).alias("ok")).unionByName(
-        p.select("page_id", F.lit(2).alias("priority"), F.lit("browser").alias("fetcher"), (F.col("page_id") % 5 == 0).alias("ok")))
-    return s.first_success(tries, "page_id", "priority", "ok").select("page_id", "fetcher", "ok")
+    """A user's dearer events as attempts in order, of which purchases succeed."""
+    tries = _events(spark, sf_dir).filter("value > 30").select("user_id", "event_id", (F.col("event_type") == "purchase").alias("ok"))
+    return s.first_success(tries, "user_id", "event_id", "ok")
 
 
 @query("run_metrics", "SELECT count(*) FILTER (event_type IN ('view', 'click')) AS visited, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type NOT IN ('view', 'click', 'error')) AS pending, CAST(sum(event_id % 3) AS BIGINT) AS retries, false AS all_failed FROM events")
@@ -80,22 +84,30 @@ def audit_summary(spark, sf_dir):
     return guards.audit_summary(e)
 
 
-@query("quality_scores", "SELECT doc_id, greatest(0, 100 - 12 * (doc_id % 4) - 15 * (doc_id % 3) - 6 * (doc_id % 2) - 8 * (doc_id % 5)) AS score FROM documents")
+@query("quality_scores", "SELECT doc_id, greatest(0, 100 - 12 * least(a, 9) - 15 * least(b, 3) - 6 * c - 8 * d) AS score FROM (SELECT doc_id, length(text) - length(replace(text, '!', '')) AS a, length(text) - length(replace(text, '#', '')) AS b, CAST(text LIKE '%@%' AS INTEGER) AS c, CAST(text LIKE '%|%' AS INTEGER) AS d FROM documents)")
 def quality_scores(spark, sf_dir):
-    d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", quality_score(d % 4, d % 3, d % 2, d % 5).alias("score"))
+    """Marks found in each document stand for missing and leaked signals."""
+    count = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
+    has = lambda c: F.contains("text", F.lit(c)).cast("int")
+    score = quality_score(F.least(count("!"), F.lit(9)), F.least(count("#"), F.lit(3)), has("@"), has("|"))
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
 
 
-@query("secret_parameters", "SELECT name, regexp_matches(replace(replace(replace(lower(name), '_', ''), '-', ''), '.', ''), '(token|key|apikey|auth|sig|signature|session|sessionid|sid|secret|password|passwd|pwd|jwt|code|credential|credentials)$') AS secret FROM (SELECT DISTINCT event_type || CASE event_id % 4 WHEN 0 THEN '_Token' WHEN 1 THEN 's' WHEN 2 THEN '-api.key' ELSE 'sid' END AS name FROM events)")
+@query("secret_parameters", r"""SELECT name, regexp_matches(replace(replace(replace(lower(name), '_', ''), '-', ''), '.', ''), '(token|key|apikey|auth|sig|signature|session|sessionid|sid|secret|password|passwd|pwd|jwt|code|credential|credentials)$') AS secret
+FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_.-]+[ ]?[:=]')) AS raw FROM documents), LATERAL (SELECT regexp_replace(raw, '[ ]?[:=]$', '') AS name) GROUP BY ALL""")
 def secret_parameters(spark, sf_dir):
-    tail = F.element_at(F.array(*map(F.lit, ["_Token", "s", "-api.key", "sid"])), (F.col("event_id") % 4 + 1).cast("int"))
-    return _events(spark, sf_dir).select(F.concat("event_type", tail).alias("name")).distinct().select("name", urls.is_secret(F.col("name")).alias("secret"))
+    """All names that stand before a colon or an equals sign in the documents."""
+    raw = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_.-]+[ ]?[:=]"), F.lit(0))).alias("raw"))
+    names = raw.select(F.regexp_replace("raw", "[ ]?[:=]$", "").alias("name")).distinct()
+    return names.select("name", urls.is_secret(F.col("name")).alias("secret"))
 
 
-@query("guarded_urls", "SELECT count(*) FILTER (page_id % 4 <> 1) AS ok, count(*) AS n FROM pages")
+@query("guarded_urls", "SELECT l_orderkey, l_linenumber, l_returnflag <> 'R' AND floor(l_extendedprice) BETWEEN 1 AND 65535 AS ok FROM lineitem")
 def guarded_urls(spark, sf_dir):
-    url = F.when(F.col("page_id") % 4 == 1, F.regexp_replace("url", "://", "://user:pw@")).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").agg(F.count_if(guards.url_shape_ok(url)).alias("ok"), F.count("*").alias("n"))
+    """Lines as URLs: the price is the port, returned ones carry user information."""
+    port = F.floor("l_extendedprice").cast("string")
+    url = F.concat(F.when(F.col("l_returnflag") == "R", "http://user:pw@h.example.com:").otherwise("http://h.example.com:"), port, F.lit("/x"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", guards.url_shape_ok(url).alias("ok"))
 
 
 @query("chunk_statistics", "SELECT doc_id, CAST(n AS BIGINT) AS total, CAST(least(n, 4) AS BIGINT) AS used, CAST(n - least(n, 4) AS BIGINT) AS omitted FROM (SELECT doc_id, len(list_filter(list_transform(range(CAST(greatest(1, ceil(length(text) / 400.0)) AS BIGINT)), lambda i: trim(substr(text, i * 400 + 1, 400), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS n FROM documents)")

@@ -57,9 +57,9 @@ def passage_top3(spark, sf_dir):
     return r.top_passages(s, 3).select("doc_id", "idx", "rank")
 
 
-@query("benchmark_bm25", None)
-def benchmark_bm25(spark, sf_dir):
-    """Lines of the documents that a benchmark item's words rank best: the item's terms as the query."""
+@query("benchmark_item_bm25", None)
+def benchmark_item_bm25(spark, sf_dir):
+    """Documents ranked by one query, the words of the first benchmark item."""
     item = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).first()
     s = r.bm25(r.passages_of(_docs(spark, sf_dir)), item["text"])
     return s.filter("score > 0").groupBy("doc_id").agg(F.max("score").alias("best"), F.count("*").alias("n"))

@@ -184,13 +184,15 @@ def ops_daily_usage(spark, sf_dir):
 
 @query("ops_idempotent_jobs", f"""WITH {CTE}, r AS (SELECT event_id, 't' || (k % 3) AS type, CAST(job_id % 5 AS VARCHAR) AS owner_key, 'i' || k AS idempotency_key, 'v' || (event_id % 2) AS request_json FROM e WHERE event_type = 'signup'),
 j AS (SELECT 't' || (k % 3) AS type, CAST(job_id % 5 AS VARCHAR) AS owner_key, 'i' || k AS idempotency_key, 'v' || min(event_id % 2) AS request_json FROM e WHERE event_type = 'purchase' GROUP BY ALL)
-SELECT event_id, CASE WHEN j.request_json IS NULL THEN 'created' WHEN j.request_json = r.request_json THEN 'reused' ELSE 'mismatch' END AS outcome FROM r LEFT JOIN j USING (type, owner_key, idempotency_key)""")
+SELECT event_id, CASE WHEN j.request_json IS NULL AND event_id = min(event_id) OVER k THEN 'created'
+  WHEN coalesce(j.request_json, first_value(r.request_json) OVER (k ORDER BY event_id)) = r.request_json THEN 'reused' ELSE 'mismatch' END AS outcome FROM r LEFT JOIN j USING (type, owner_key, idempotency_key)
+WINDOW k AS (PARTITION BY type, owner_key, idempotency_key)""")
 def ops_idempotent_jobs(spark, sf_dir):
     e = _events(spark, sf_dir).select(
         "event_id", "event_type", F.concat(F.lit("t"), (F.col("k") % 3).cast("string")).alias("type"), (F.col("job_id") % 5).cast("string").alias("owner_key"),
         F.concat(F.lit("i"), F.col("k").cast("string")).alias("idempotency_key"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("request_json"))
     jobs = e.filter("event_type = 'purchase'").groupBy("type", "owner_key", "idempotency_key").agg(F.min("request_json").alias("request_json"))
-    return w.new_jobs(e.filter("event_type = 'signup'"), jobs).select("event_id", "outcome")
+    return w.new_jobs(e.filter("event_type = 'signup'").withColumn("seq", F.col("event_id")), jobs).select("event_id", "outcome")
 
 
 @query("ops_job_states", None)

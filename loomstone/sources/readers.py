@@ -289,6 +289,6 @@ def convert_files(files: DataFrame) -> DataFrame:
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """(url): lines of text files without comments and blank ones."""
-    line = F.btrim(F.substring_index("value", "#", 1))
+    """(url): lines of text files without comments and blank ones; a # starts a comment at the start of a line or after a blank."""
+    line = F.btrim(F.regexp_replace("value", r"(?:^|\s)#.*$", ""))
     return spark.read.text(path).select(line.alias("url")).filter("url <> ''")

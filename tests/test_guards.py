@@ -23,7 +23,10 @@ def test_addresses(spark):
 
 def test_robots_and_apis(spark):
     pages = spark.createDataFrame([("http://a.b/x",), ("http://a.b/private/y",), ("http://c.d/private",)], "url string")
-    robots = spark.createDataFrame([("a.b", "User-agent: *\nDisallow: /private")], "host string, body string")
+    robots = spark.createDataFrame([("http://a.b", 200, "User-agent: *\nDisallow: /private"), ("https://a.b", 500, None)], "origin string, status int, body string")
+    more = spark.createDataFrame([("https://a.b/x",), ("http://a.b:8080/private",), ("http://a.b/robots.txt",), ("http://a.b",)], "url string")
+    assert [r["allowed"] for r in guards.robots_allowed(more, robots, "bot").orderBy("url").collect()] == [True, True, True, False]
+    assert guards.product_token("Mozilla/5.0 (compatible; Loom/1.2; +x)", "Loom") == "Loom/1.2" and guards.product_token("x", "Loom") == "Loom"
     assert {r["url"]: r["allowed"] for r in guards.robots_allowed(pages, robots, "bot").collect()} == {"http://a.b/x": True, "http://a.b/private/y": False, "http://c.d/private": True}
     calls = [(0, "GET", "http://a/p?x=1&token=9", "{}"), (1, "GET", "http://a/p?token=8&x=2", "{}"), (2, "POST", "http://a/p", "[]")]
     got = guards.discovered_apis(spark.createDataFrame(calls, "seq int, method string, url string, shape string")).collect()

@@ -158,14 +158,19 @@ def test_crawls(spark, tmp_path):
     failed = spark.createDataFrame([("b", False), ("c", False)], "url string, ok boolean")
     assert [x["url"] for x in crawl.limited_crawl(e, "a", 9, 9, failed).orderBy("seq").collect()] == ["a", "b", "c"]
     scores = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.9), ("f", 0.8), ("d", 0.0)], "url string, score double")
-    assert [u for u, _ in crawl.best_first(e.select("src", "dst"), scores, "a", 4, batch=1)] == ["a", "c", "f", "b"]
-    assert crawl.best_first(e.select("src", "dst"), scores, "b", 9, batch=1, streak=2)[-1][0] in ("a", "e")
+    assert [u for u, _ in crawl.best_first(e.select("src", "dst"), scores, "a", 4, ahead=2)] == ["a", "c", "f", "b"]
+    assert crawl.best_first(e.select("src", "dst"), scores, "b", 9, streak=2)[-1][0] in ("a", "e")
     body = spark.createDataFrame([("- [a](http://a \"t\") [b](<http://b>)",), ("<html>[x](http://x)",)], "t string")
     assert [x[0] for x in body.select(crawl.listed_links(F.col("t"))).collect()] == [["http://a", "http://b"], []]
 
 
 def test_evaluation(spark):
-    assert evaluation.mcnemar_p(0, 0) == 1 and evaluation.mcnemar_p(5, 5) == 1 and abs(evaluation.mcnemar_p(0, 6) - 2 / 64) < 1e-12
+    from math import comb
+
+    for a, b in [(0, 0), (5, 5), (0, 6), (48, 18), (3, 900), (700, 600)]:
+        want = min(1.0, sum(comb(a + b, i) for i in range(min(a, b) + 1)) * 2 / 2 ** (a + b))
+        got = spark.range(1).select(evaluation.mcnemar_p(F.lit(a), F.lit(b))).first()[0]
+        assert abs(got - want) < 1e-9 * want, (a, b, got, want)
     rows = [("x", "The Answer is here", ["answer", "gone"], ["HERE"]), ("y", "", [], [])]
     got = {x["name"]: (x["recall"], x["leakage"]) for x in evaluation.signal_scores(spark.createDataFrame(rows, "name string, text string, expected array<string>, excluded array<string>")).collect()}
     assert got == {"x": (0.5, 1.0), "y": (1.0, 0.0)}
