@@ -26,8 +26,12 @@ Q = 8
 #: Windows of long items, how far apart they start, and the share of a window that edits may touch.
 #: An excerpt of WINDOW characters lies within half a stride of a window, which costs no more edits than it may have.
 WINDOW, STRIDE, RATE = 50, 5, 0.08
-#: Items below this length match nothing.
-SHORTEST = 12
+#: Items below this length, which have no q-gram, are too short to tell and match nothing.
+SHORTEST = Q
+#: Texts are searched in pieces of at most this many characters that overlap by what a passage and its edits may take, ...
+PIECE, OVERLAP = 1 << 18, 2 * WINDOW
+#: ... and a piece with more than HITS hits is halved until it is this short.
+LEAST_PIECE = 8 * WINDOW
 #: Hits and alignments that are held at once.
 HITS, ALIGNED = 1 << 20, 2048
 #: Benchmark characters in one index; a larger benchmark is searched in several passes.
@@ -80,6 +84,13 @@ def windows(text: str) -> list[str]:
     return [text[s : s + WINDOW] for s in window_starts(text)]
 
 
+def pieces(text: str, size: int) -> list[str]:
+    """A text in pieces of ``size`` characters at most, each but the first beginning OVERLAP before the last one's end."""
+    if len(text) <= size:
+        return [text]
+    return [text[s : s + size] for s in range(0, len(text) - OVERLAP, size - OVERLAP)]
+
+
 def budget(m: int) -> int:
     """How many edits a passage of m characters may have, so that the lemma still asks for a shared gram."""
     return max(0, min(int(RATE * m), m // Q - 1))
@@ -120,9 +131,16 @@ class Index:
         self.bitmap[(self.grams >> _U(64 - _BITS)).astype(np.int64)] = True
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(index of the text, index of the item, fewest edits) of every match; texts are normalized."""
-        if not self.item or not texts:
-            return
+        """(index of the text, index of the item, edits) of every match, the fewest edits of each among them; texts are normalized.
+
+        A match lies in OVERLAP characters, so it lies whole in some piece, and
+        neither long texts nor frequent grams make more hits at once than a piece has.
+        """
+        if self.item and texts:
+            cut = [(i, p) for i, t in enumerate(texts) for p in pieces(t, PIECE)]
+            yield from self._pieces([p for _, p in cut], [i for i, _ in cut])
+
+    def _pieces(self, texts: list[str], owners: list[int]) -> Iterator[tuple[int, int, int]]:
         points = code_points("\x00".join(texts))
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         hashes = gram_hashes(points)
@@ -141,7 +159,13 @@ class Index:
             high = int(np.searchsorted(row, row[min(max(high, low), len(row) - 1)], side="left")) if high < len(at) else high
             if high <= low:
                 high = int(np.searchsorted(row, row[low], side="right"))
-            yield from self._matches(points, starts, at[low:high], gram[low:high], row[low:high])
+            r = int(row[low])
+            if high - low and total[high - 1] - (total[low - 1] if low else 0) > HITS and len(texts[r]) > LEAST_PIECE:
+                halves = pieces(texts[r], (len(texts[r]) + OVERLAP) // 2 + 1)
+                yield from self._pieces(halves, [owners[r]] * len(halves))
+            else:
+                for t, i, edits in self._matches(points, starts, at[low:high], gram[low:high], row[low:high]):
+                    yield owners[t], i, edits
             low = high
 
     def _matches(self, points, starts, at, gram, row) -> Iterator[tuple[int, int, int]]:
@@ -306,7 +330,11 @@ def _leaks(shared):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that hold no benchmark passage, with all their columns; nothing is shuffled.
+
+    Null and empty texts hold none; rows without doc_id or with a repeated one are judged each; an empty
+    benchmark keeps all.
+    """
     column = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
     for index in _blocks(benchmark):
         docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), column), docs.schema)

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomstone.llm.columns import pick
+from loomstone.llm.textarrays import slices
 from loomstone.llm.tokenizing import worker_encoder
 
 PIECE_SCHEMA = (
@@ -42,7 +43,7 @@ def _packer(tokenizer_path: str, end_id: int, longest: int, with_ids: bool):
         end = np.array([end_id], dtype="<u4").tobytes()
         # A task numbers its own range of sequences; a task that is repeated gives the same numbers.
         sequence = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows, ids_out = [], []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
                 ids += end

@@ -25,8 +25,10 @@ from loomstone.llm.tokenizing import worker_encoder
 from loomstone.runtime import scratch_path
 
 BLOCK_IDS = 1 << 16
+#: Ids that are spread into bits at once.
+_SLICE = 1 << 13
 BLOCK_SCHEMA = (
-    "shard int, block int, block_start bigint, bits int, n_ids bigint, "
+    "shard int, block int, block_start bigint, bits int, n_ids bigint, first_id bigint, last_id bigint, "
     "doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 )
 
@@ -40,8 +42,13 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Pack ids into ``bits`` bits each, the lowest bit first."""
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    flat = ((ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(flat.ravel(), bitorder="little").tobytes()
+    # Eight ids fill a whole number of bytes, so slices of a multiple of eight can be packed one after the other.
+    out = bytearray()
+    for low in range(0, len(ids), _SLICE):
+        part = ids[low : low + _SLICE].astype("<u4")
+        flat = np.unpackbits(part.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
+        out += np.packbits(flat.ravel(), bitorder="little").tobytes()
+    return bytes(out)
 
 
 def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
@@ -72,11 +79,13 @@ def _writer(tokenizer_path: str, end_id: int, block_ids: int):
                     pa.array([start], pa.int64()),
                     pa.array([bits], pa.int32()),
                     pa.array([len(ids)], pa.int64()),
+                    pa.array([next((d for d in docs if d is not None), None)], pa.int64()),
+                    pa.array([docs[-1]], pa.int64()),
                     pa.array([docs], pa.list_(pa.int64())),
                     pa.array([lengths], pa.list_(pa.int64())),
                     pa.array([pack(ids, bits)], pa.binary()),
                 ],
-                names=["shard", "block", "block_start", "bits", "n_ids", "doc_ids", "n_tokens", "payload"],
+                names=["shard", "block", "block_start", "bits", "n_ids", "first_id", "last_id", "doc_ids", "n_tokens", "payload"],
             )
 
         for batch in batches:
@@ -161,6 +170,42 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(_expand, "doc_id bigint, ids array<bigint>")
 
 
+def _ranges(start: int, stop: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = max(start - row["start"], 0), min(stop - row["start"], row["n_ids"])
+                ids = unpack(row["payload"], row["bits"], a, b)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["start"] + a], pa.int64()), pa.array([ids.astype(np.int64).tolist()], pa.list_(pa.int64()))],
+                    names=["start", "ids"],
+                )
+
+    return run
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids) for each block that holds ids ``start`` to ``stop`` of the stream; only their bytes of a block are unpacked.
+
+    Blocks outside are left out by their numbers, before their payloads are read from the columnar files.
+    """
+    near = read_blocks(spark, path).filter((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
+    return near.select("bits", "n_ids", "payload", "start").mapInArrow(_ranges(start, stop), "start bigint, ids array<bigint>")
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the wanted documents, every row of each; blocks whose range of doc_id holds none are not read.
+
+    Files are in doc_id order, and ``first_id`` and ``last_id`` have statistics in their footers.
+    """
+    inside = F.lit(False)
+    for i in doc_ids:
+        inside = inside | ((F.col("first_id") <= i) & (F.col("last_id") >= i))
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path).filter(inside)
+    rows = blocks.select("bits", "n_ids", "doc_ids", "n_tokens", "payload").mapInArrow(_expand, "doc_id bigint, ids array<bigint>")
+    return rows.filter(F.col("doc_id").isin(doc_ids))
+
+
 def token_round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write ``docs`` to a fresh dataset in the shared folder and digest what the files hold."""
     path = scratch_path(docs.sparkSession, "tokens")

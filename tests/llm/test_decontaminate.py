@@ -96,6 +96,33 @@ def test_several_passes_agree(spark, sf, monkeypatch):
     assert sorted(map(tuple, d.find_leaks(docs, bench).collect())) == one
 
 
+def test_long_texts_and_frequent_grams(spark, monkeypatch):
+    """A long text in pieces, and a stem that all items share, find what one piece finds."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdefghiklmno") for _ in range(6)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, "choose the right answer from the list below " + say(12)) for i in range(60)] + [(99, "blue owl")]
+    parts = [say(400), items[3][1], say(3000), damaged(rng, items[7][1], 2), say(500), "x blue owl y", say(100)]
+    long = " ".join(parts) + " choose the right answer from the list below" * 40
+    index = d.Index(items)
+    want = {(r, i): min(e for a, b, e in index.search([long, "no"]) if (a, b) == (r, i)) for r, i, _ in index.search([long, "no"])}
+    assert {3, 7, 60} <= {i for _, i in want}
+    for name, value in (("PIECE", 700), ("HITS", 500), ("LEAST_PIECE", 150)):
+        monkeypatch.setattr(d, name, value)
+        got = {}
+        for r, i, e in index.search([long, "no"]):
+            got[r, i] = min(e, got.get((r, i), 99))
+        assert got == want, name
+
+
+def test_pieces_overlap():
+    text = "".join(chr(97 + i % 26) for i in range(1003))
+    for size in (150, 333, 1002, 1003, 2000):
+        got = d.pieces(text, size)
+        assert all(len(p) <= size for p in got) and got[0] == text[:size] and text.endswith(got[-1])
+        assert all(any(text[s : s + d.OVERLAP] in p for p in got) for s in range(len(text) - d.OVERLAP + 1))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     bench = spark.createDataFrame([], "item_id bigint, text string")

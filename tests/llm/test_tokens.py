@@ -74,6 +74,13 @@ def test_token_files(spark, plain, tmp_path):
         assert by[doc_id, len(ids)] == zlib.crc32(ids.tobytes())
     ids = {r["doc_id"]: r["ids"] for r in tokenbin.read_tokens(spark, path).collect() if r["doc_id"] == 3}
     assert ids[3] == [*plain("a b c"), 0]
+    stream = [i for r in got for i in next(x["ids"] for x in tokenbin.read_tokens(spark, path).collect() if x["doc_id"] == r["doc_id"] and len(x["ids"]) == r["n_tokens"])]
+    for a, b in [(0, len(stream)), (1, 2), (3, 9), (7, 5000), (len(stream), len(stream) + 5)]:
+        parts = sorted(map(tuple, tokenbin.read_range(spark, path, a, b).collect()))
+        assert [i for _, ids in parts for i in ids] == stream[a:b]
+    wanted = tokenbin.read_documents(spark, path, [2, 9, 77])
+    assert sorted((r["doc_id"], len(r["ids"])) for r in wanted.collect()) == [(2, 1), (2, 3), (9, len(plain("word " * 5000)) + 1)]
+    assert "first_id" in wanted._jdf.queryExecution().toString().split("PushedFilters")[1][:120]
 
 
 def test_empty_tables(spark, tmp_path):
