@@ -25,14 +25,18 @@ def rollup(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> Dat
     return events.withWatermark("at", late).groupBy(F.window("at", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def admitted(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
+def admitted(events: DataFrame, limit: int, seconds: int = 60, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, admitted): at most ``limit`` admitted requests of a user in any ``seconds``.
 
     State is the times of the admitted requests of the last window, so it is
-    bounded by the limit; refused requests leave no trace.
+    bounded by the limit; refused requests leave no trace.  Once the watermark has
+    passed a user's last window, the user's state is dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         for pdf in batches:
             pdf = pdf.sort_values(["second", "event_id"])
@@ -44,10 +48,13 @@ def admitted(events: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
                     recent.append(float(t))
             yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "admitted": verdict})
         state.update((recent,))
+        if recent:
+            end = int((recent[-1] + seconds) * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
-    rows = events.select("user_id", "event_id", (F.unix_micros("at") / 1e6).alias("second"))
+    rows = events.withWatermark("at", late).select("user_id", "event_id", "at", (F.unix_micros("at") / 1e6).alias("second"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id bigint, event_id bigint, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout
+        step, "user_id bigint, event_id bigint, admitted boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
