@@ -9,6 +9,7 @@ the best root is a weighted sum over the columns.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import cached_property
 
 import numpy as np
@@ -37,6 +38,8 @@ def _any_word(words: list[str]) -> re.Pattern:
 
 _SURE, _SOFT, _CONTENT = map(_any_word, (SURE_WORDS, SOFT_WORDS, CONTENT_WORDS))
 _NOTICE = re.compile(rf"\b(?:{'|'.join(COOKIE_PHRASES)})\b", re.I)
+#: A word that every cookie phrase has, for skipping pages without.
+_NOTICE_WORD = re.compile("cookie|continuing", re.I)
 _INDEX = re.compile(INDEX_TITLE, re.I)
 _NOTHING_HIGH = re.compile(r"0+(?:\.0+)?(?:px|pt|em|rem|%)?$")
 
@@ -79,9 +82,10 @@ class Page:
         self.t = tree
         self.end = np.asarray(tree.end)
         self.start = np.arange(len(tree.end))
-        self.text = np.fromiter(map(tree.size, self.start), np.int64, len(self.start))
-        self.link_text = np.fromiter(map(tree.link_size, self.start), np.int64, len(self.start))
-        self.element = np.array([tag is not None for tag in tree.tag])
+        self.text, self.link_text = tree.sizes()
+        self.element = np.fromiter((tag is not None for tag in tree.tag), bool, len(tree.tag))
+        #: Elements with attributes, which alone have names.
+        self.marked = [i for i, a in enumerate(tree.attrs) if a]
 
     def identity(self, i: int) -> str:
         return " ".join(self.t.get(i, n) for n in ("id", "class", "role"))
@@ -90,7 +94,12 @@ class Page:
         return self.t.tag[i] == "main" or self.t.get(i, "role").lower() == "main"
 
     def tagged(self, tags: set[str]) -> np.ndarray:
-        return np.array([tag in tags for tag in self.t.tag])
+        return self.flags(i for tag in tags for i in self.t.tagged.get(tag, ()))
+
+    def flags(self, nodes: Iterable[int]) -> np.ndarray:
+        out = np.zeros(len(self.end), bool)
+        out[list(nodes)] = True
+        return out
 
     def below(self, flags: np.ndarray) -> np.ndarray:
         """For each node, how many of its descendants have a flag."""
@@ -113,25 +122,25 @@ class Page:
 
     @cached_property
     def landmarks(self) -> np.ndarray:
-        return np.array([tag is not None and self.landmark(i) for i, tag in enumerate(self.t.tag)])
+        return self.flags([*self.t.tagged.get("main", ()), *(i for i in self.marked if self.landmark(i))])
 
     @cached_property
     def marks(self) -> np.ndarray:
         t = self.t
         out = np.where(self.tagged(UNREAD), SILENT, 0)
-        with_names = [i for i in np.flatnonzero(self.element) if t.attrs[i]]
-        sized = {i: s for i in with_names if (s := declarations(t.get(i, "style")))}
-        resized = self.below(np.isin(self.start, [i for i, s in sized.items() if "font-size" in s]))
-        for i in with_names:
+        sized = {i: s for i in self.marked if "style" in t.attrs[i] and (s := declarations(t.get(i, "style")))}
+        resized = self.below(self.flags(i for i, s in sized.items() if "font-size" in s))
+        for i in self.marked:
             out[i] |= self._named(i) | self._concealed(i, sized.get(i, {}), resized[i] > 0)
         out[self._listings()] |= LISTING
         forms, headers = self.tagged({"form"}), self.tagged({"header"})
         wraps_page = forms & (self.below(self.tagged({"h1", "h2", "main", "article"})) > 0)
         out[self.tagged(CHROME) & ~wraps_page] |= CHROME_PART
         out[headers & (2 * self.link_text < self.text)] |= PAGE_HEADER
-        for i in np.flatnonzero(self.tagged(NOTICE_TAGS) & (self.text > 0) & (self.text <= 600)):
-            if _NOTICE.search(t.head(i, 160)[:160]):
-                out[i] |= NOTICE
+        if any(_NOTICE_WORD.search(x) for x in t.text):
+            for i in np.flatnonzero(self.tagged(NOTICE_TAGS) & (self.text > 0) & (self.text <= 600)):
+                if _NOTICE.search(t.head(i, 160)[:160]):
+                    out[i] |= NOTICE
         return out
 
     def _named(self, i: int) -> int:
@@ -168,7 +177,7 @@ class Page:
                 if holder >= 0 and t.tag[holder] in ("section", "div"):
                     first.setdefault(holder, h)
         titled = [holder for holder, h in first.items() if _INDEX.fullmatch(t.string(h))]
-        named = [i for i in t.elements() if not {"toc", "genindex"}.isdisjoint(self.identity(i).lower().split())]
+        named = [i for i in self.marked if not {"toc", "genindex"}.isdisjoint(self.identity(i).lower().split())]
         return [*titled, *named]
 
     # -- the best root --------------------------------------------------------------
@@ -179,7 +188,7 @@ class Page:
         return {
             "text": self.text, "blocks": self.below(blocks), "has title": self.below(titles) > 0,
             "is root": self.tagged({"main", "article", "body"}), "links": self.below(links), "named": named,
-            "named content": np.array([tag is not None and bool(_CONTENT.search(self.identity(i))) for i, tag in enumerate(self.t.tag)]),
+            "named content": self.flags(i for i in self.marked if _CONTENT.search(self.identity(i))),
             "listing": self.marks & LISTING > 0, "named below": self.below(named),
         }
 
