@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,14 +53,38 @@ def persist_table(df: DataFrame, name: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    for made in _RECORDS:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files below a frame made by :func:`persist_table`."""
-    spark = df.sparkSession
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that :func:`persist_table` writes meanwhile, in order."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.pop()
+
+
+def drop_paths(spark: SparkSession, paths: Iterable[str], unless: Iterable[DataFrame] = ()) -> None:
+    """Delete scratch tables, apart from those that the frames ``unless`` read."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    # Below the shared folder each table has a folder of its own, named by a random number.
+    key = lambda p: p.rsplit("/loomstone-", 1)[-1].split("/", 1)[0]
+    used = {key(f) for df in unless for f in df.inputFiles()}
+    for name in set(paths):
+        if key(name) not in used:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files below a frame made by :func:`persist_table`."""
+    drop_paths(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
