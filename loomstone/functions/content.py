@@ -15,15 +15,12 @@ from functools import cached_property
 import numpy as np
 
 from loomstone.functions.html_tree import UNREAD, Tree
+from loomstone.functions.pages import COOKIE
 
 # Words that name what is not content, and what is.  Those of the second group count on nodes of links only.
 SURE_WORDS = "cookie consent newsletter popup advert ads breadcrumb pagination toc social-share share-buttons related-posts".split()
 SOFT_WORDS = "banner modal promo sidebar sticky rail".split()
 CONTENT_WORDS = "article body content entry main post story documentation docs readme doc-content page-content".split()
-COOKIE_PHRASES = [
-    r"cookies?\s+consent", r"we\s+use\s+cookies", r"this\s+(?:site|website)\s+uses\s+cookies", r"cookie\s+(?:policy|settings|preferences|notice)",
-    r"accept\s+(?:all\s+)?cookies", r"manage\s+cookies?", r"by\s+continuing\s+you\s+accept", r"consent\s+to\s+cookies",
-]
 INDEX_TITLE = r"(?:[A-Z]\.\s*|Appendix [A-Z]\.?\s*)?Index"
 OFF_SCREEN = {"hidden", "sr-only", "visually-hidden", "screen-reader-only"}
 CHROME = {"nav", "header", "footer", "aside", "form"}
@@ -37,7 +34,7 @@ def _any_word(words: list[str]) -> re.Pattern:
 
 
 _SURE, _SOFT, _CONTENT = map(_any_word, (SURE_WORDS, SOFT_WORDS, CONTENT_WORDS))
-_NOTICE = re.compile(rf"\b(?:{'|'.join(COOKIE_PHRASES)})\b", re.I)
+_NOTICE = re.compile(COOKIE, re.I)
 #: A word that every cookie phrase has, for skipping pages without.
 _NOTICE_WORD = re.compile("cookie|continuing", re.I)
 _INDEX = re.compile(INDEX_TITLE, re.I)
