@@ -140,26 +140,26 @@ def sitemap_urls(files: DataFrame, roots: list[str], max_depth: int = MAX_SITEMA
     """(url): the pages that sitemaps list, indexes followed ``max_depth`` deep, cycles and missing files left out.
 
     files: (url, xml), the sitemaps that were read.
+    A file's text is searched once, before its places become rows: behind the
+    explode each row would search the whole file again.
     """
     loc = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:[\w-]+:)?loc>\s*(.*?)\s*</(?:[\w-]+:)?loc>"), F.lit(1))
-    parsed = persist_table(
-        files.select(F.col("url").alias("file"), F.col("xml").rlike(r"<(?:[\w-]+:)?sitemapindex\b").alias("index"), F.explode(loc).alias("loc")),
-        "sitemaps",
-    )
+    read = files.select(F.col("url").alias("file"), F.col("xml").rlike(r"<(?:[\w-]+:)?sitemapindex\b").alias("index"), loc.alias("locs"))
+    # explode_outer: for explode Spark adds a filter on the size of locs, which is another search.
+    places = read.select("file", "index", F.explode_outer("locs").alias("loc")).filter("loc is not null")
     plain = F.replace(F.replace(F.replace(F.col("loc"), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    parsed = parsed.select("file", "index", urls.normalize(plain).alias("loc"))
-    spark = files.sparkSession
-    front = spark.createDataFrame([(r,) for r in roots], "file string")
-    done, out = front, None
-    for _ in range(max_depth + 1):
-        here = parsed.join(front, "file", "left_semi")
-        pages = here.filter("not index").select(F.col("loc").alias("url"))
-        out = pages if out is None else out.unionByName(pages)
-        front = persist_table(here.filter("index").select(F.col("loc").alias("file")).distinct().join(done, "file", "left_anti"), "sitemap-front")
+    parsed = persist_table(places.select("file", "index", urls.normalize(plain).alias("loc")), "sitemaps")
+    links = parsed.filter("index").select("file", F.col("loc").alias("to"))
+    front = files.sparkSession.createDataFrame([(r,) for r in roots], "file string")
+    done, depth = front, 0
+    while depth < max_depth:
+        new = links.join(front, "file", "left_semi").select(F.col("to").alias("file")).distinct()
+        front = persist_table(new.join(done, "file", "left_anti"), "sitemap-front")
         if front.isEmpty():
             break
-        done = done.unionByName(front)
-    return out.distinct().orderBy("url").limit(limit)
+        done, depth = done.unionByName(front), depth + 1
+    out = parsed.filter("not index").join(done, "file", "left_semi").select(F.col("loc").alias("url")).distinct()
+    return out.orderBy("url").limit(limit)
 
 
 def listed_links(text: Column) -> Column:

@@ -15,7 +15,7 @@ from loomstone.functions import urls
 from loomstone.operators import crawl, evaluation
 from loomstone.plans.registry import query
 from loomstone.plans.url_queries import HOST, NORMAL
-from loomstone.runtime import table
+from loomstone.runtime import persist_table, table
 from loomstone.sources.readers import convert_files, document_kind
 from loomstone.streaming import usage
 
@@ -69,15 +69,23 @@ def crawl_best_first(spark, sf_dir):
 
 @query("sitemap_pages", f"SELECT DISTINCT {NORMAL} AS url FROM pages ORDER BY url LIMIT 100000")
 def sitemap_pages(spark, sf_dir):
-    """Pages of a sitemap index with one sitemap for each language; the index also lists itself."""
-    p = table(spark, sf_dir, "pages").select("url", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
-    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    maps = p.groupBy("lang").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
-    maps = maps.select(F.concat(F.lit("https://x.example/map-"), "lang", F.lit(".xml")).alias("url"), "xml")
-    entries = F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), "")
-    own = F.lit("<sitemap><loc>https://x.example/index.xml</loc></sitemap></sitemapindex>")
-    index = maps.agg(F.concat(F.lit("<sitemapindex>"), entries, own).alias("xml")).select(F.lit("https://x.example/index.xml").alias("url"), "xml")
-    return crawl.sitemap_urls(index.unionByName(maps), ["https://x.example/index.xml"])
+    """Pages of a sitemap index: each language has a sitemap for 1,000 ids, an index lists those of 100,000 ids, the first index lists these and itself."""
+    site = lambda *name: F.concat(F.lit("https://x.example/"), *name, F.lit(".xml"))
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    listed = lambda tag, c: F.array_join(F.collect_list(F.concat(F.lit(f"<{tag}><loc> "), text(c), F.lit(f" </loc></{tag}>"))), "")
+    index = lambda entries: F.concat(F.lit("<sitemapindex>"), entries, F.lit("</sitemapindex>")).alias("xml")
+
+    # A page without HTML has the empty language; names are encoded, so they can be paths.
+    lang = F.url_encode(F.coalesce(F.regexp_extract("html", '<html lang="([^"]*)"', 1), F.lit("")))
+    p = table(spark, sf_dir, "pages").select("url", lang.alias("lang"), F.coalesce(F.floor(F.col("page_id") / 1000), F.lit(0)).alias("part"))
+    maps = p.groupBy("lang", "part").agg(F.concat(F.lit("<urlset>"), listed("url", F.col("url")), F.lit("</urlset>")).alias("xml"))
+    upper = site(F.lit("index-"), F.floor(F.col("part") / 100).cast("string"))
+    maps = persist_table(maps.select(site(F.lit("map-"), "lang", F.lit("-"), F.col("part").cast("string")).alias("url"), "xml", upper.alias("upper")), "maps")
+    parts = maps.groupBy("upper").agg(index(listed("sitemap", F.col("url")))).withColumnRenamed("upper", "url")
+    first = "https://x.example/index.xml"
+    names = maps.select(F.col("upper").alias("url")).distinct().unionByName(spark.createDataFrame([(first,)], "url string"))
+    root = names.agg(index(listed("sitemap", F.col("url")))).select(F.lit(first).alias("url"), "xml")
+    return crawl.sitemap_urls(root.unionByName(parts).unionByName(maps.select("url", "xml")), [first])
 
 
 @query("llms_txt", r"""SELECT '# Site' || chr(10) || chr(10) || '> All of it' || chr(10) || chr(10) || '## Pages' || chr(10) || chr(10) || string_agg('- [' || replace(replace(t, '[', '\['), ']', '\]') || '](' || url || ')', chr(10) ORDER BY page_id) || chr(10) AS llms_txt
