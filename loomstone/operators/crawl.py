@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from loomstone.functions import urls
 from loomstone.runtime import persist_table
 
-MAX_SITEMAP_DEPTH, MAX_SITEMAP_URLS = 4, 100_000
-
 
 def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int, allow: Column | None = None) -> DataFrame:
     """(root, url, depth): what can be reached from each root within ``max_depth`` links.
@@ -136,10 +134,11 @@ def retry_plan(failures: DataFrame, retry_on: list[str], attempts: int, delay: f
     return failures.withColumn("outcome", F.when(again, "again").otherwise("terminal")).withColumn("ready_at", F.when(again, F.col("failed_at") + wait))
 
 
-def sitemap_urls(files: DataFrame, roots: list[str], max_depth: int = MAX_SITEMAP_DEPTH, limit: int = MAX_SITEMAP_URLS) -> DataFrame:
-    """(url): the pages that sitemaps list, indexes followed ``max_depth`` deep, cycles and missing files left out.
+def sitemap_urls(files: DataFrame, roots: list[str], max_depth: int | None = None, limit: int | None = None) -> DataFrame:
+    """(url): the pages that sitemaps list, in order, cycles and missing files left out.
 
-    files: (url, xml), the sitemaps that were read.
+    files: (url, xml), the sitemaps that were read.  Indexes are followed to their
+    end and all pages returned unless a caller gives ``max_depth`` or ``limit``.
     A file's text is searched once, before its places become rows: behind the
     explode each row would search the whole file again.
     """
@@ -152,14 +151,14 @@ def sitemap_urls(files: DataFrame, roots: list[str], max_depth: int = MAX_SITEMA
     links = parsed.filter("index").select("file", F.col("loc").alias("to"))
     front = files.sparkSession.createDataFrame([(r,) for r in roots], "file string")
     done, depth = front, 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         new = links.join(front, "file", "left_semi").select(F.col("to").alias("file")).distinct()
         front = persist_table(new.join(done, "file", "left_anti"), "sitemap-front")
         if front.isEmpty():
             break
         done, depth = done.unionByName(front), depth + 1
-    out = parsed.filter("not index").join(done, "file", "left_semi").select(F.col("loc").alias("url")).distinct()
-    return out.orderBy("url").limit(limit)
+    out = parsed.filter("not index").join(done, "file", "left_semi").select(F.col("loc").alias("url")).distinct().orderBy("url")
+    return out if limit is None else out.limit(limit)
 
 
 def listed_links(text: Column) -> Column:

@@ -67,7 +67,7 @@ def crawl_best_first(spark, sf_dir):
     return spark.createDataFrame([(i, u, s) for i, (u, s) in enumerate(order)], "place int, url string, score double")
 
 
-@query("sitemap_pages", f"SELECT DISTINCT {NORMAL} AS url FROM pages ORDER BY url LIMIT 100000")
+@query("sitemap_pages", f"SELECT DISTINCT {NORMAL} AS url FROM pages ORDER BY url")
 def sitemap_pages(spark, sf_dir):
     """Pages of a sitemap index: each language has a sitemap for 1,000 ids, an index lists those of 100,000 ids, the first index lists these and itself."""
     site = lambda *name: F.concat(F.lit("https://x.example/"), *name, F.lit(".xml"))
