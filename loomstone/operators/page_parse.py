@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomstone.functions.facts import base_url, facts
+from loomstone.functions.facts import base_url, facts, title_source
 from loomstone.functions.content import Page
 from loomstone.functions.html_tree import Tree
 from loomstone.functions.markdown import render
@@ -20,6 +20,7 @@ FORMATS = {
     "text_chars": "bigint",
     "links": "array<string>",
     "metadata": "map<string,string>",
+    "title_source": "string",
     "provenance": "struct<strategy:string,hint:string,tag:string,id:string,classes:string,candidates:int,score:bigint,chars:bigint,sha256:string>",
     "chunks": "array<struct<id:int,text:string,heading:string,url:string,cite_url:string,estimated_tokens:int>>",
     "outline": "array<struct<id:string,heading:string,level:int,tokens:int>>",
@@ -36,6 +37,8 @@ def parse(html: str, url: str, wanted: list[str], main_only: bool = True, chunk_
         out["markdown"] = md
     if {"links", "metadata"} & set(wanted):
         out["links"], out["metadata"] = facts(tree, url or "")
+    if "title_source" in wanted:
+        out["title_source"] = None if html is None else title_source(tree, html)
     if "text_chars" in wanted:
         out["text_chars"] = tree.size(0)
     if "provenance" in wanted:
@@ -58,7 +61,7 @@ def parse_pages(pages: DataFrame, formats: list[str], key: str = "page_id", main
     """``key`` and a column for each format; unknown formats raise ValueError.
 
     Only what is asked for is computed, and only key, url and html are read.
-    Null html is an empty page.
+    Null html is an empty page; its title_source is null.
     """
     unknown = [f for f in formats if f not in FORMATS]
     if unknown:
@@ -86,7 +89,7 @@ def _parser(key: str, formats: list[str], main_only: bool, chunk_tokens: int):
 
 _S, _I, _L = pa.string(), pa.int32(), pa.int64()
 _ARROW = {
-    "markdown": _S, "text_chars": _L, "links": pa.list_(_S), "metadata": pa.map_(_S, _S),
+    "markdown": _S, "text_chars": _L, "links": pa.list_(_S), "metadata": pa.map_(_S, _S), "title_source": _S,
     "provenance": pa.struct([("strategy", _S), ("hint", _S), ("tag", _S), ("id", _S), ("classes", _S), ("candidates", _I), ("score", _L), ("chars", _L), ("sha256", _S)]),
     "chunks": pa.list_(pa.struct([("id", _I), ("text", _S), ("heading", _S), ("url", _S), ("cite_url", _S), ("estimated_tokens", _I)])),
     "outline": pa.list_(pa.struct([("id", _S), ("heading", _S), ("level", _I), ("tokens", _I)])),

@@ -18,3 +18,14 @@ def test_fixed_chunks_of_blank_texts(spark, tmp_path):
     mine, theirs = both(spark, tmp_path, "doc_fixed_chunks", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert mine == theirs
     assert mine[:3] == [(0, 0, None), (1, 0, None), (10, 8, 3200)]
+
+
+def test_titles_with_cut_references(spark, tmp_path):
+    html = [
+        None, "", "<p>no title", '<html lang="en"><title></title>', '<html lang="en"><title>a &amp;&amp;&amp b&amp</title>', "<title>&quot &quo &am &lt &copy &middot;</title>",
+        '<html lang=" de "><TITLE class=x>\n A\x0b \r\n\r\n B  </TITLE\n>', "<title>a &gt; &eacute; &#39; &amp;lt; &lt;b&gt;</title>", "x\ny\n<title>one <b>1</b></title>\n<title>two</title>",
+        "<title>unclosed &amp", '<html class="x" lang="fr">\n\n<title>  wide　 </title>', "<title/>a</title>", "<title>a <!-- b</title> c --></title>",
+    ]
+    mine, theirs = both(spark, tmp_path, "parsed_titles", "pages", [(i, "http://h.example/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    assert mine == theirs
+    assert (4, "en", "a &&&amp b&amp") in mine
